@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op1_byte_bpe
 from .chat_format import OP7_SQL, op7_chat_format
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_chat_format": op7_chat_format,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLES = {
