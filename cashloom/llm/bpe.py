@@ -14,16 +14,19 @@ from collections.abc import Iterator
 from itertools import chain
 from math import inf
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text
+from .common import documents, pieces, whole_text
 
 #: Pieces that a worker remembers before it starts its cache anew.
 CACHE_PIECES = 300_000
+#: Pairs of tokens of which it remembers whether they may stand side by side.
+CACHE_PAIRS = 400_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -40,6 +43,11 @@ class PrefixBpe:
             raise ValueError(f"no token for the bytes {missing[:5]}")
         self.ranks = ranks
         self.longest = max(map(len, ranks))
+        self._ending = ahocorasick.Automaton()  # finds the tokens that end at each byte
+        for token in ranks:
+            self._ending.add_word(token.decode("latin-1"), token)
+        self._ending.make_automaton()
+        self._pairs: dict[tuple[bytes, bytes], bool] = {}
         self._halves: dict[bytes, tuple[bytes, bytes]] = {}
         self._left: dict[bytes, tuple] = {}
         self._right: dict[bytes, tuple] = {}
@@ -90,15 +98,22 @@ class PrefixBpe:
 
     def extend(self, data: bytes, last: list[bytes]) -> list[bytes]:
         """Append to ``last``, the last tokens of the prefixes of ``data`` so far, those of the others."""
-        ranks, longest, ok = self.ranks, self.longest, self.may_follow
-        for i in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, i - longest), i):
-                token = data[start:i]
-                if token in ranks and (start == 0 or ok(last[start - 1], token)):
-                    last.append(token)
-                    break
-            else:
-                raise AssertionError("every prefix has a last token")
+        pairs, begin = self._pairs, max(0, len(last) + 1 - self.longest)
+        for end, token in self._ending.iter(data.decode("latin-1"), begin):
+            if end < len(last):
+                continue
+            start = end + 1 - len(token)
+            if start:
+                pair = (last[start - 1], token)
+                ok = pairs.get(pair)
+                if ok is None:
+                    if len(pairs) >= CACHE_PAIRS:
+                        pairs.clear()
+                    ok = pairs[pair] = self.may_follow(*pair)
+                if not ok:
+                    continue
+            last.append(token)
+        assert len(last) == len(data), "every prefix has a last token"
         return last
 
     def tokens(self, last: list[bytes]) -> list[int]:
@@ -181,7 +196,7 @@ def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("text").to_pylist()
             offsets = np.zeros(len(texts) + 1, np.int32)
             parts = []
@@ -204,8 +219,8 @@ def decode_documents(encoded: DataFrame, rank_file: bytes, pattern: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks, pattern)
-        for batch in batches:
-            decoded = [encoder.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
+        for batch in pieces(batches):
+            decoded = [encoder.decode(ids.values.tolist() if ids.is_valid else ()) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("ids"), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"]
             )

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +76,15 @@ def lookup(
     return step.select(
         *rows.columns, *[F.coalesce(F.col(f"_h_{v}"), F.col(f"_c_{v}")).alias(v) for v in values]
     )
+
+
+#: Bytes of input that an Arrow function turns into Python objects at once.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about PIECE_BYTES, or of one row where that is larger."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text
+from .common import documents, pieces, whole_text
 
 # fixed value: how the byte-level pre-tokenizer splits a text
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -97,7 +97,7 @@ def frequent_pieces(docs: DataFrame) -> list[str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, split = Counter(), regex.compile(PATTERN).findall
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch.column("text").to_pylist():
                 seen.update(split(text))
             if len(seen) > 16 * SKETCH_PIECES:
@@ -132,7 +132,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, limit: int = 512) -> Data
             _counters.clear()
             _counters[key] = (PieceCounter(spec, compact.expand()), compact)
         counter = _counters[key][0]
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
