@@ -10,6 +10,7 @@ is computed anew only from the edit on, until it agrees with the old one again.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from itertools import chain
 from math import inf
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, pieces, whole_text
 
-#: Pieces that a worker remembers before it starts its cache anew.
+#: Pieces that a worker remembers; as many of the time before are kept as well.
 CACHE_PIECES = 300_000
 #: Pairs of tokens of which it remembers whether they may stand side by side.
 CACHE_PAIRS = 400_000
@@ -158,9 +159,14 @@ class TextEncoder:
         outer = self
 
         class Cache(dict):
+            before: dict = {}
+
             def __missing__(self, piece: str) -> list[int]:
-                ids = outer.bpe.encode(piece.encode("utf-8"))
+                ids = self.before.get(piece)
+                if ids is None:
+                    ids = outer.bpe.encode(piece.encode("utf-8"))
                 if len(self) >= CACHE_PIECES:
+                    self.before = dict(self)
                     self.clear()
                 self[piece] = ids
                 return ids
@@ -186,6 +192,26 @@ def _encoder(ranks, pattern: str) -> TextEncoder:
     return _encoders[key]
 
 
+def _encoded(encoder: TextEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        texts = batch.column("text").to_pylist()
+        offsets = np.zeros(len(texts) + 1, np.int32)
+        parts = []
+        for i, text in enumerate(texts):
+            ids = np.array(encoder.encode(text), np.int32)
+            offsets[i + 1] = offsets[i] + len(ids)
+            parts.append(ids)
+        values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"]
+        )
+
+
+def _id_lists(batch: pa.RecordBatch) -> Iterator[list[int]]:
+    for ids in batch.column("ids"):
+        yield ids.values.tolist() if ids.is_valid else []
+
+
 def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
     """Encode the whole text of each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -193,24 +219,7 @@ def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFra
     rank file, of a size fixed by its vocabulary, is broadcast.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(rank_file)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks, pattern)
-        for batch in pieces(batches):
-            texts = batch.column("text").to_pylist()
-            offsets = np.zeros(len(texts) + 1, np.int32)
-            parts = []
-            for i, text in enumerate(texts):
-                ids = np.array(encoder.encode(text), np.int32)
-                offsets[i + 1] = offsets[i] + len(ids)
-                parts.append(ids)
-            values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"]
-            )
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
+    return _texts(docs).mapInArrow(lambda x: _encoded(_encoder(ranks, pattern), x), "doc_id bigint, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
@@ -220,14 +229,20 @@ def decode_documents(encoded: DataFrame, rank_file: bytes, pattern: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks, pattern)
         for batch in pieces(batches):
-            decoded = [encoder.decode(ids.values.tolist() if ids.is_valid else ()) for ids in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"]
-            )
+            decoded = pa.array([encoder.decode(ids) for ids in _id_lists(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), decoded], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
+
+
+def _sha256(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
 def vocabulary(name: str) -> tuple[bytes, str]:
     """A public rank file's bytes and the pattern that goes with it."""
     import public_tokenizers
@@ -237,14 +252,25 @@ def vocabulary(name: str) -> tuple[bytes, str]:
 
 
 def round_trip(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
-    """Digests of the encoding and of what it decodes to."""
-    both = decode_documents(encode_documents(docs, rank_file, pattern), rank_file, pattern)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """Digests of each row's encoding and of what the ids decode to, made where they arise: doc_id,
+    n_tokens, ids_sha256, decoded_sha256. Nulls as in :func:`encode_documents`."""
+    ranks = docs.sparkSession.sparkContext.broadcast(rank_file)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(ranks, pattern)
+        for batch in _encoded(encoder, batches):
+            lists = list(_id_lists(batch))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(map(len, lists), pa.int64()),
+                    pa.array([_sha256(" ".join(map(str, ids)).encode()) for ids in lists], pa.string()),
+                    pa.array([_sha256(encoder.decode(ids)) for ids in lists], pa.string()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return _texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
