@@ -132,12 +132,14 @@ class Adam:
         self.mean = [np.zeros_like(w) for w in weights]
         self.square = [np.zeros_like(w) for w in weights]
 
-    def step(self, gradients: list[np.ndarray]) -> None:
+    def step(self, gradients: list) -> None:
+        """A gradient is an array, or rows of one (all others zero; their moments stay as they are)."""
         self.t += 1
         for w, g, m, s in zip(self.weights, gradients, self.mean, self.square, strict=True):
-            m += 0.1 * (g - m)
-            s += 0.001 * (g * g - s)
-            w -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.999**self.t)) + 1e-8)
+            own, g = g if isinstance(g, tuple) else (slice(None), g)
+            m[own] += 0.1 * (g - m[own])
+            s[own] += 0.001 * (g * g - s[own])
+            w[own] -= self.rate * (m[own] / (1 - 0.9**self.t)) / (np.sqrt(s[own] / (1 - 0.999**self.t)) + 1e-8)
 
 
 def fit(texts: list[bytes], labels: list[int], seed: int = 7) -> ByteNetwork:

@@ -5,11 +5,17 @@ from __future__ import annotations
 from .bpe import op1_byte_bpe
 from .chat_format import OP7_SQL, op7_chat_format
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .media import op6_media_columns
+from .quality import op4_quality
 from .token_counts import op9_token_counts
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
+    "op6_media_columns": op6_media_columns,
     "op7_chat_format": op7_chat_format,
     "op9_token_counts": op9_token_counts,
 }
