@@ -6,6 +6,7 @@ from .bpe import op1_byte_bpe
 from .chat_format import OP7_SQL, op7_chat_format
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .media import op6_media_columns
+from .near_dedup import op8_minhash_dedup
 from .quality import op4_quality
 from .token_counts import op9_token_counts
 from .toxicity import op5_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_media_columns": op6_media_columns,
     "op7_chat_format": op7_chat_format,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_token_counts": op9_token_counts,
 }
 
