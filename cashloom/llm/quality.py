@@ -199,6 +199,19 @@ def score_documents(docs: DataFrame, net: ByteNetwork) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, score double")
 
 
+def keep_quality(docs: DataFrame, net: ByteNetwork, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns as they are, whose score is at least ``least``."""
+    model = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts = [(t or "").encode("utf-8") for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(model.value.score(texts) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_network(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ByteNetwork:
     """Fit on at most ``rows`` labelled rows that are not held out (crc32 of the doc_id mod 3 is not 1)."""
     return fit(*fitting_sample(docs, labels, "quality", remainder(F.col("doc_id"), 3) != 1, rows))

@@ -6,6 +6,7 @@ from .bpe import op1_byte_bpe
 from .chat_format import OP7_SQL, op7_chat_format
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .media import op6_media_columns
+from .mixing import OP2_SQL, op2_source_mixing
 from .near_dedup import op8_minhash_dedup
 from .quality import op4_quality
 from .token_counts import op9_token_counts
@@ -14,6 +15,7 @@ from .toxicity import op5_toxicity
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op2_source_mixing": op2_source_mixing,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_media_columns": op6_media_columns,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_source_mixing": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op7_chat_format": OP7_SQL,
 }

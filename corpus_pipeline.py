@@ -1,10 +1,65 @@
-"""Corpus pipeline; see STAGES."""
+"""Corpus pipeline: quality filter, exact and near dedup, source mixing, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. Every stage works on all that its predecessor kept, and its decisions take effect.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cashloom.llm import bpe
+from cashloom.llm.exact_dedup import exact_duplicates
+from cashloom.llm.mixing import mixed
+from cashloom.llm.near_dedup import near_duplicates
+from cashloom.llm.quality import keep_quality, quality_network
+
+#: Share of the tokens that mixing keeps. Without language-model stages after it, most of the corpus stays.
+MIX_BUDGET = 0.9
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least 0.5; the model is fitted on the labelled rows among them."""
+    return keep_quality(docs, quality_network(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id; of rows that repeat a doc_id with its text, one."""
+    kept = exact_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of each component at five words and a similarity of 0.8."""
+    kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by raked weights of source, language and topic."""
+    return mixed(docs, budget=MIX_BUDGET).where("_kept").select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens and the digest of what the ids decode to."""
+    vocabulary = bpe.vocabulary(VOCABULARY)
+    both = bpe.decode_documents(bpe.encode_documents(docs, *vocabulary), *vocabulary)
+    return both.select(
+        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
+    )
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("mixing sources", mixing),
+    ("byte-level BPE", byte_bpe),
+]
 
-STAGES: list = []
+#: SQL cannot express the classifier or the BPE; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
