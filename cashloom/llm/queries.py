@@ -9,6 +9,7 @@ from .media import op6_media_columns
 from .mixing import OP2_SQL, op2_source_mixing
 from .near_dedup import op8_minhash_dedup
 from .quality import op4_quality
+from .substrings import op10_suffix_dedup
 from .token_counts import op9_token_counts
 from .toxicity import op5_toxicity
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES = {
