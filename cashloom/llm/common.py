@@ -48,14 +48,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup(
-    rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, spread: Column
+    rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, spread: Column, matched: bool = False
 ) -> DataFrame:
     """Left join ``rows`` with the group table ``table`` on ``keys``, safely for hot groups.
 
     ``size`` is the column of ``table`` that has the number of rows of a group, out of ``total``.
     At most HEAVY_SHARE groups can each hold more than total / HEAVY_SHARE rows, so those few table
     rows are broadcast. Rows they answer get a key of their own (``spread``) in the shuffle join of
-    the rest, so that no task receives a hot group. ``keys`` must be bigint columns without nulls.
+    the rest, so that no task receives a hot group. ``keys`` are columns without nulls, the first a
+    bigint. With ``matched``, rows without a table row are left out.
     """
     values = [c for c in table.columns if c not in keys]
     hot = table.where(F.col(size) * HEAVY_SHARE > F.lit(total))
@@ -66,6 +67,11 @@ def lookup(
         F.lit(False).alias("_c_done"),
     )
     on_hot = [F.col(k) == F.col(f"_h_{k}") for k in keys]
+    if matched:
+        on_cold = [F.col(k) == F.col(f"_c_{k}") for k in keys]
+        answered = rows.join(F.broadcast(hot), on_hot).select(*rows.columns, *[F.col(f"_h_{v}").alias(v) for v in values])
+        others = rows.join(F.broadcast(hot), on_hot, "left_anti").join(cold, on_cold)
+        return answered.unionAll(others.select(*rows.columns, *[F.col(f"_c_{v}").alias(v) for v in values]))
     step = rows.join(F.broadcast(hot), on_hot, "left")
     step = step.withColumn("_done", F.col(f"_h_{size}").isNotNull())
     step = step.withColumn("_k0", F.when(F.col("_done"), spread).otherwise(F.col(keys[0])))

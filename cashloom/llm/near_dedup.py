@@ -7,8 +7,11 @@ candidates if they share a table's key, that is if at least two of their collect
 similarity of 0.85 a pair misses all tables with a probability of 6e-6, at 0.8 of 2e-4.
 
 Documents with one sequence of words are taken as one node. Only collections that occur more than once
-go on to the tables. In each bucket all nodes are held against its least node first, then those that
-are still in different components, against each other: no bucket has a cap.
+go on to the tables. In each bucket all nodes are held against its pivot, the node whose collections are
+the most common, which is where a group of near-copies is densest. Nodes of buckets that are still in
+different components are then held against each other, in two rounds, if they share a shingle among
+their rarest: a pair that is similar enough shares one among the first n - overlap + 1 of each set, rarest
+first, so no link is lost, no bucket has a cap, and members of one component are never paired again.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, lookup, pieces, saved, whole_text
@@ -154,26 +158,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "values", "other").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _repeated(rows: DataFrame, keys: list[str], *more) -> DataFrame:
+    """``rows`` whose keys occur more than once, with the number of times and the aggregates ``more``."""
+    table = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), *more).where("size > 1")
+    return lookup(rows, saved(table, "repeated"), keys, "size", max(1, rows.count()), F.xxhash64("node"), matched=True)
+
+
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """node, n and bucket for each table key that more than one of ``nodes`` (node, n, keys) has."""
+    """node, n, bucket, pivot and weight (of the pivot) for each table key that several of ``nodes`` have."""
     single = saved(nodes.select("node", "n", F.posexplode("keys").alias("c", "key")).withColumn("c", F.col("c").cast("bigint")), "collections")
     shared = _repeated(single, ["key", "c"])
-    own = shared.groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("c", "key"))).alias("k"))  # at most COLLECTIONS
+    own = shared.groupBy("node", "n").agg(
+        F.array_sort(F.collect_set(F.struct("c", "key"))).alias("k"),  # at most COLLECTIONS
+        F.sum("size").alias("weight"),
+    )
     pairs = F.flatten(
         F.transform(
             "k",
             lambda x, i: F.transform(F.slice(F.col("k"), i + 2, F.lit(COLLECTIONS)), lambda y: F.xxhash64(x["c"], x["key"], y["c"], y["key"])),
         )
     )
-    tables = saved(own.select("node", "n", F.explode(pairs).alias("bucket")), "tables")
-    return saved(_repeated(tables, ["bucket"]), "buckets")
-
-
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` whose keys occur more than once, with the least node that has them."""
-    table = rows.groupBy(*keys).agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    found = lookup(rows.select("node", "n", *keys), saved(table, "repeated"), keys, "size", max(1, rows.count()), F.xxhash64("node"))
-    return found.where(F.col("size").isNotNull())
+    tables = saved(own.select("node", "n", "weight", F.explode(pairs).alias("bucket")), "tables")
+    found = _repeated(tables, ["bucket"], F.max(F.struct("weight", (-F.col("node")).alias("o"))).alias("top"))
+    return saved(found.select("node", "n", "bucket", (-F.col("top.o")).alias("pivot"), F.col("top.weight").alias("weight")), "buckets")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -214,34 +221,78 @@ def _links(docs: DataFrame, groups: DataFrame, words: int, percent: int) -> Data
         candidates.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"
     )
     sets = saved(full_sets(wanted, words), "sets")
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    to_least = saved(buckets.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "to-least")
+    to_pivot = buckets.where("node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("weight").alias("weight"))
+    to_pivot = saved(to_pivot, "to-pivot")
     # One pair of each node first: most nodes need no more.
-    first = to_least.groupBy("a").agg(F.min("b").alias("b"))
+    first = saved(to_pivot.groupBy("a").agg(F.max(F.struct("weight", (-F.col("b")).alias("o"))).alias("m")).select("a", (-F.col("m.o")).alias("b")), "first")
     links = saved(confirmed(first, sets, percent), "links")
-    for rest in ("least", "others"):
+    now = saved(components(links), "components")
+    rest = saved(_apart(to_pivot.select("a", "b").join(first, ["a", "b"], "left_anti"), now), "rest")
+    if not rest.isEmpty():
+        links = saved(links.union(confirmed(rest, sets, percent)), "links")
         now = saved(components(links), "components")
-        if rest == "least":
-            open_pairs = _apart(to_least.join(first, ["a", "b"], "left_anti"), now)
-        else:
-            inside = buckets.select("bucket", "node", "n").join(now, "node", "left")
-            inside = inside.select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-            inside = saved(inside, "inside")
-            mixed = inside.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-            part = saved(inside.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
-            other = part.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("component_b"))
-            open_pairs = (
-                part.join(other, "bucket").where((F.col("component") < F.col("component_b")) & fits)
-                .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-                .join(to_least, ["a", "b"], "left_anti")
-            )
-        open_pairs = saved(open_pairs, "open")
-        if open_pairs.isEmpty():
-            continue
-        links = saved(links.union(confirmed(open_pairs, sets, percent)), "links")
+    shared = _rare_shingles(buckets, sets, now, percent)
+    if shared is None:
+        return links
+    tested = saved(first.union(rest), "tested")
+    # Each node against the heaviest node of every other component that has one of its rare shingles.
+    heads = saved(shared.groupBy("shingle", "component").agg(F.max(F.struct("weight", (-F.col("node")).alias("o"), "n", "place")).alias("h")), "heads")
+    heads = heads.select("shingle", "component", (-F.col("h.o")).alias("node"), F.col("h.n").alias("n"), F.col("h.place").alias("place"))
+    for others in (heads, shared):
+        open_pairs = saved(_sharing(shared, others, percent).join(tested, ["a", "b"], "left_anti"), "open")
+        open_pairs = saved(_apart(open_pairs, now), "open")
+        if not open_pairs.isEmpty():
+            links = saved(links.union(confirmed(open_pairs, sets, percent)), "links")
+            now = saved(components(links), "components")
+            tested = saved(tested.union(open_pairs), "tested")
+            label = now.select("node", F.col("component").alias("_c"))
+            shared = saved(shared.join(label, "node", "left").withColumn("component", F.coalesce("_c", "component")).drop("_c"), "shared")
     return links
 
 
+def _rare_shingles(buckets: DataFrame, sets: DataFrame, now: DataFrame, percent: int) -> DataFrame | None:
+    """For nodes of buckets with several components, the rarest shingles of their sets that others have too:
+    shingle, node, n, place (from 0, rarest first), component, weight; None if there are no such nodes."""
+    inside = buckets.select("bucket", "node", "n").join(now, "node", "left")
+    inside = saved(inside.select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "inside")
+    mixed = inside.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    nodes = saved(inside.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "n", "component").distinct(), "mixed")
+    if nodes.isEmpty():
+        return None
+    weights = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+    rows = saved(_exploded(sets.join(nodes.select("node").distinct(), "node", "left_semi")).distinct(), "shingles")
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    known = lookup(rows, saved(counts, "counts"), ["shingle"], "df", max(1, rows.count()), F.xxhash64("node", "shingle"))
+    place = F.row_number().over(W.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "shingle")) - 1
+    placed = known.withColumn("place", place).where("df IS NOT NULL").join(nodes.join(weights, "node"), "node")
+    # A partner is at least as large as percent of this set, which needs an overlap of as much.
+    placed = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    placed = saved(placed.select("shingle", "node", "n", "place", "component", "weight"), "placed")
+    useful = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return saved(placed.join(useful.select("shingle"), "shingle", "left_semi"), "shared")
+
+
+def _exploded(sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            values = [np.frombuffer(v, np.int64) for v in batch.column("values").to_pylist()]
+            nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), [len(v) for v in values])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]))], ["node", "shingle"])
+
+    return sets.select("node", "values").mapInArrow(run, "node bigint, shingle bigint")
+
+
+def _sharing(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Pairs a > b of different components with a shingle among those that one of a similar pair must share."""
+    other = others.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("component").alias("_cb"))
+    overlap = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+    near = (F.col("place") <= F.col("n") - overlap) & (F.col("q") <= F.col("m") - overlap)
+    apart = F.col("component") != F.col("_cb")
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    pairs = rows.join(other, "shingle").where(apart & near & fits)
+    return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+
+
 def _apart(pairs: DataFrame, now: DataFrame) -> DataFrame:
     """``pairs`` whose nodes are in different components."""
     a = now.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
