@@ -299,13 +299,13 @@ def _all_reaches(contexts: DataFrame, length: int, gram: int, group: int) -> Dat
         done = saved(_scanned(marked.where("m IS NULL"), length, gram), "done")
         uses = smaller.select("g", "ca", "cb", "uses").join(done, ["g", "ca", "cb"])
         uses = uses.select(F.col("g").alias("sub"), F.col("ca").alias("sa"), F.col("cb").alias("sb"), "uses", "before", "after")
-        back = lookup(rows.select("g", "ca", "cb", "sub", "sa", "sb"), uses, ["sub", "sa", "sb"], "uses", max(1, rows.count()), F.xxhash64("ca"))
-        out = out.union(back.where("before IS NOT NULL").select("g", "ca", "cb", "before", "after"))
+        back = lookup(rows.select("g", "ca", "cb", "sub", "sa", "sb"), uses, ["sub", "sa", "sb"], "uses", max(1, rows.count()), F.xxhash64("ca"), matched=True)
+        out = out.union(back.select("g", "ca", "cb", "before", "after"))
         if again.isEmpty():
             return out.groupBy("g", "ca", "cb").agg(F.max("before").alias("before"), F.max("after").alias("after"))
         hot = again.select(F.col("g").alias("sub"), "m")
-        members = lookup(rows.drop("cut", "cut_anchor", "sa", "sb"), hot, ["sub"], "m", max(1, rows.count()), F.xxhash64("ca"))
-        members = members.where("m IS NOT NULL").drop("sub", "m")
+        members = lookup(rows.drop("cut", "cut_anchor", "sa", "sb"), hot, ["sub"], "m", max(1, rows.count()), F.xxhash64("ca"), matched=True)
+        members = members.drop("sub", "m")
 
 
 def _removed(texts: DataFrame) -> DataFrame:
@@ -357,7 +357,7 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     table = saved(
         single.groupBy("g").agg(F.sum("counts").alias("n"), F.count(F.lit(1)).alias("size")).where("n > 1").select("g", "size"), "repeated-grams"
     )
-    wanted = lookup(single.select("ka", "kb", "one", "g"), table, ["g"], "size", max(1, single.count()), F.xxhash64("ka", "g")).where("size IS NOT NULL")
+    wanted = lookup(single.select("ka", "kb", "one", "g"), table, ["g"], "size", max(1, single.count()), F.xxhash64("ka", "g"), matched=True)
     wanted = wanted.groupBy("one", "ka", "kb").agg(F.collect_list("g").alias("wanted"))
     rows = _rows(docs).withColumn("one", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_sha", F.sha2("data", 256))
     own = wanted.withColumn("_head", F.concat(_hex_key("ka"), _hex_key("kb")))
@@ -370,8 +370,8 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     contexts = saved(_merged(owner), "merged")
     reach = _all_reaches(contexts, length, gram, group)
     reach = saved(contexts.select("g", "ca", "cb", "uses").join(reach, ["g", "ca", "cb"]), "reaches")
-    spans = lookup(found.select("g", "ca", "cb", "ka", "kb", "places"), reach, ["g", "ca", "cb"], "uses", max(1, found.count()), F.xxhash64("ka", "ca"))
-    spans = spans.where("before IS NOT NULL").select("ka", "kb", "before", "after", F.explode("places").alias("p"))
+    spans = lookup(found.select("g", "ca", "cb", "ka", "kb", "places"), reach, ["g", "ca", "cb"], "uses", max(1, found.count()), F.xxhash64("ka", "ca"), matched=True)
+    spans = spans.select("ka", "kb", "before", "after", F.explode("places").alias("p"))
     spans = spans.groupBy("ka", "kb").agg(F.collect_set(F.struct((F.col("p") - F.col("before")).alias("a"), (F.col("p") + F.col("after")).alias("b"))).alias("spans"))
     cut = _removed(held.select("ka", "kb", "data").join(spans, ["ka", "kb"])).dropDuplicates(["ka", "kb"])
     known = saved(texts.select("ka", "kb", "copies").join(cut, ["ka", "kb"], "left").where("copies > 1 OR kept_sha IS NOT NULL"), "known")
