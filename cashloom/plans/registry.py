@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import relational_queries, scalar_queries
+
+QUERIES: dict = {**scalar_queries.QUERIES, **relational_queries.QUERIES}
+ORACLES: dict = {**scalar_queries.ORACLES, **relational_queries.ORACLES}
