@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import documents, pieces, whole_text
 
 #: Pieces that a worker remembers; as many of the time before are kept as well.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 #: Pairs of tokens of which it remembers whether they may stand side by side.
-CACHE_PAIRS = 400_000
+CACHE_PAIRS = 200_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -273,27 +273,31 @@ def vocabulary(name: str) -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
-def round_trip(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
-    """Digests of each row's encoding and of what the ids decode to, made where they arise: doc_id,
-    n_tokens, ids_sha256, decoded_sha256. Nulls as in :func:`encode_documents`."""
+def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, with_ids: bool = True) -> DataFrame:
+    """Each row's ids and digests of them and of what they decode to, made in one worker: doc_id, ids,
+    n_tokens, ids_sha256, decoded_sha256. Nulls as in :func:`encode_documents`.
+
+    Where ids are not asked for, as in the digest query, ``ids`` is left out.
+    """
     ranks = docs.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks, pattern)
         for batch in pieces(batches):
             lists = [encoder.encode(text) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(map(len, lists), pa.int64()),
-                    pa.array([_sha256(encoder.written(ids).encode()) for ids in lists], pa.string()),
-                    pa.array([_sha256(encoder.decode(ids)) for ids in lists], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "n_tokens": pa.array(map(len, lists), pa.int64()),
+                "ids_sha256": pa.array([_sha256(encoder.written(ids).encode()) for ids in lists], pa.string()),
+                "decoded_sha256": pa.array([_sha256(encoder.decode(ids)) for ids in lists], pa.string()),
+            }
+            if with_ids:
+                columns["ids"] = pa.array(lists, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _texts(docs).mapInArrow(run, schema)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(documents(spark, sf_dir), *vocabulary("byte_bpe_50k.tiktoken"))
+    return round_trip(documents(spark, sf_dir), *vocabulary("byte_bpe_50k.tiktoken"), with_ids=False)

@@ -7,7 +7,6 @@ documents. Every stage works on all that its predecessor kept, and its decisions
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cashloom.llm import bpe
 from cashloom.llm.exact_dedup import exact_duplicates
@@ -43,12 +42,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens and the digest of what the ids decode to."""
-    vocabulary = bpe.vocabulary(VOCABULARY)
-    both = bpe.decode_documents(bpe.encode_documents(docs, *vocabulary), *vocabulary)
-    return both.select(
-        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
-    )
+    """doc_id, ids, n_tokens and digests of the ids and of what they decode to."""
+    return bpe.round_trip(docs, *bpe.vocabulary(VOCABULARY)).select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
