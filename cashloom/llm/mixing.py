@@ -101,21 +101,21 @@ def draw(doc_id: Column) -> Column:
 
 def mixed(docs: DataFrame, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """All rows of ``docs`` (doc_id, text, source, lang and whatever else) with _topic, _tokens,
-    probability and _kept.
+    _probability and _kept.
 
     A null source or lang counts as empty, a null text as an empty one; rows without tokens weigh nothing
     and are kept. Repeated rows are drawn alike. An empty table gives an empty result.
     """
-    cells = cell_probabilities(docs, budget, targets)
+    cells = cell_probabilities(docs, budget, targets).withColumnRenamed("probability", "_probability")
     rows = _facts(docs).join(cells, [f"_{a}" for a in AXES], "left")
-    rows = rows.withColumn("probability", F.when(F.col("_tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("probability", F.lit(0.0))))
-    return rows.withColumn("_kept", draw(F.col("doc_id")) < F.col("probability"))
+    rows = rows.withColumn("_probability", F.when(F.col("_tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("_probability", F.lit(0.0))))
+    return rows.withColumn("_kept", draw(F.col("doc_id")) < F.col("_probability"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir)).select(
         "doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
-        F.round("probability", 6).alias("probability"), F.col("_kept").alias("kept"),
+        F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"),
     )
 
 
