@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational_queries, scalar_queries
+from . import evaluation_queries, relational_queries, scalar_queries
 
-QUERIES: dict = {**scalar_queries.QUERIES, **relational_queries.QUERIES}
-ORACLES: dict = {**scalar_queries.ORACLES, **relational_queries.ORACLES}
+QUERIES: dict = {**scalar_queries.QUERIES, **relational_queries.QUERIES, **evaluation_queries.QUERIES}
+ORACLES: dict = {**scalar_queries.ORACLES, **relational_queries.ORACLES, **evaluation_queries.ORACLES}
