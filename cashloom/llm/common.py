@@ -1,41 +1,19 @@
-"""Shared helpers of the corpus operators: the shared folder, saved tables and hot-key joins."""
+"""Shared helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A group that holds more than this share of all rows is joined by broadcast, the others by shuffle.
-HEAVY_SHARE = 256
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share, as spark.checkpoint.dir names it.
-
-    Only where that setting is absent (tests in local mode) a temporary folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = jvm_dir.get() if jvm_dir.isDefined() else None
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="cashloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+from ..operators.shared import HEAVY_SHARE, lookup, saved, shared_dir
 
+__all__ = ["HEAVY_SHARE", "PIECE_BYTES", "documents", "lookup", "pieces", "saved", "shared_dir", "whole_text"]
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: this cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cashloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of input that an Arrow function turns into Python objects at once.
+PIECE_BYTES = 4 << 20
 
 
 def whole_text(column: str = "text") -> Column:
@@ -47,47 +25,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def lookup(
-    rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, spread: Column, matched: bool = False
-) -> DataFrame:
-    """Left join ``rows`` with the group table ``table`` on ``keys``, safely for hot groups.
-
-    ``size`` is the column of ``table`` that has the number of rows of a group, out of ``total``.
-    At most HEAVY_SHARE groups can each hold more than total / HEAVY_SHARE rows, so those few table
-    rows are broadcast. Rows they answer get a key of their own (``spread``) in the shuffle join of
-    the rest, so that no task receives a hot group. ``keys`` are columns without nulls, the first a
-    bigint. With ``matched``, rows without a table row are left out.
-    """
-    values = [c for c in table.columns if c not in keys]
-    hot = table.where(F.col(size) * HEAVY_SHARE > F.lit(total))
-    cold = table.where(F.col(size) * HEAVY_SHARE <= F.lit(total))
-    hot = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(v).alias(f"_h_{v}") for v in values])
-    cold = cold.select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys], *[F.col(v).alias(f"_c_{v}") for v in values],
-        F.lit(False).alias("_c_done"),
-    )
-    on_hot = [F.col(k) == F.col(f"_h_{k}") for k in keys]
-    if matched:
-        on_cold = [F.col(k) == F.col(f"_c_{k}") for k in keys]
-        answered = rows.join(F.broadcast(hot), on_hot).select(*rows.columns, *[F.col(f"_h_{v}").alias(v) for v in values])
-        others = rows.join(F.broadcast(hot), on_hot, "left_anti").join(cold, on_cold)
-        return answered.unionAll(others.select(*rows.columns, *[F.col(f"_c_{v}").alias(v) for v in values]))
-    step = rows.join(F.broadcast(hot), on_hot, "left")
-    step = step.withColumn("_done", F.col(f"_h_{size}").isNotNull())
-    step = step.withColumn("_k0", F.when(F.col("_done"), spread).otherwise(F.col(keys[0])))
-    on_cold = [F.col("_k0") == F.col(f"_c_{keys[0]}")]
-    on_cold += [F.col(k) == F.col(f"_c_{k}") for k in keys[1:]]
-    on_cold.append(F.col("_done") == F.col("_c_done"))
-    step = step.join(cold, on_cold, "left")
-    return step.select(
-        *rows.columns, *[F.coalesce(F.col(f"_h_{v}"), F.col(f"_c_{v}")).alias(v) for v in values]
-    )
-
-
-#: Bytes of input that an Arrow function turns into Python objects at once.
-PIECE_BYTES = 4 << 20
-
-
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about PIECE_BYTES, or of one row where that is larger."""
     for batch in batches:
