@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A group that holds more than this share of all rows is joined by broadcast, the others by shuffle.
 HEAVY_SHARE = 256
+#: Names this process's folder of saved tables.
+RUN = uuid.uuid4().hex
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,11 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: this cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cashloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cashloom-{RUN}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_saved(spark: SparkSession) -> None:
+    """Delete all tables that this process has saved; results that still read them are void then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cashloom-{RUN}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lookup(
     rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, spread: Column, matched: bool = False
 ) -> DataFrame:
