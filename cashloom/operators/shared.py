@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A group that holds more than this share of all rows is joined by broadcast, the others by shuffle.
 HEAVY_SHARE = 256
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Names this process's folder of saved tables.
 RUN = uuid.uuid4().hex
 
@@ -30,10 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: this cuts the lineage."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: this cuts the lineage.
+
+    The shuffle files of the write go as soon as it has ended, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cashloom-{RUN}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
