@@ -348,20 +348,18 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     """
     every = saved(_gram_lists(docs, length, gram), "gram-lists")
     total = max(1, every.count())
-    texts = every.groupBy("ka", "kb").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("one"),
-        F.first("n_bytes").alias("n_bytes"), F.first("grams").alias("grams"), F.first("counts").alias("counts"),
+    texts = saved(
+        every.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("one")), "texts"
     )
-    texts = saved(texts, "texts")
-    single = texts.select("ka", "kb", "one", F.inline(F.arrays_zip("grams", "counts"))).withColumnRenamed("grams", "g")
-    table = saved(
-        single.groupBy("g").agg(F.sum("counts").alias("n"), F.count(F.lit(1)).alias("size")).where("n > 1").select("g", "size"), "repeated-grams"
-    )
-    wanted = lookup(single.select("ka", "kb", "one", "g"), table, ["g"], "size", max(1, single.count()), F.xxhash64("ka", "g"), matched=True)
-    wanted = wanted.groupBy("one", "ka", "kb").agg(F.collect_list("g").alias("wanted"))
-    rows = _rows(docs).withColumn("one", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_sha", F.sha2("data", 256))
-    own = wanted.withColumn("_head", F.concat(_hex_key("ka"), _hex_key("kb")))
-    held = rows.join(own, (rows["one"] == own["one"]) & (F.substring("_sha", 1, 32) == F.col("_head"))).select("ka", "kb", "data", "wanted")
+    single = every.select("ka", "kb", F.inline(F.arrays_zip("grams", "counts"))).withColumnRenamed("grams", "g")
+    # Copies are one text. From here on two texts with one ka would only look for each other's grams too.
+    single = saved(single.groupBy("ka", "kb", "g").agg(F.max("counts").alias("n")).select("ka", "g", "n"), "text-grams")
+    table = saved(single.groupBy("g").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("size")).where("n > 1").select("g", "size"), "repeated-grams")
+    wanted = lookup(single.select("ka", "g"), table, ["g"], "size", max(1, single.count()), F.xxhash64("ka", "g"), matched=True)
+    wanted = saved(wanted.groupBy("ka").agg(F.collect_list("g").alias("wanted")), "wanted")
+    rows = _rows(docs).withColumn("_one", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_sha", F.sha2("data", 256))
+    own = texts.join(wanted, "ka").withColumn("_head", F.concat(_hex_key("ka"), _hex_key("kb")))
+    held = rows.join(own, (rows["_one"] == own["one"]) & (F.substring("_sha", 1, 32) == F.col("_head"))).select("ka", "kb", "data", "wanted")
     held = saved(held, "held-texts")
     found = saved(_contexts(held, length, gram), "contexts")
     owner = found.withColumn("least", F.struct("ka", "kb", F.array_min("places").alias("p"))).withColumn(
