@@ -22,20 +22,20 @@ def components(edges: DataFrame) -> DataFrame:
     appear. Every step is a shuffle of edges, of which there never are more than at first but for one a
     node; the number of steps grows with the logarithm of the longest chain.
     """
-    now = saved(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
-    )
+    most = edges.count()
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    now = saved(now, "edges", most)
     before = None
     while True:
         n = now.count()
         if not n:
             break
-        both = saved(now.union(now.select(F.col("v"), F.col("u"))), "both")
+        both = saved(now.union(now.select(F.col("v"), F.col("u"))), "both", 2 * n)
         large = _least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = saved(large, "large")
+        large = saved(large, "large", n)
         small = _least(large, max(1, large.count()))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        now = saved(small.where("u <> v").distinct(), "small")
+        now = saved(small.where("u <> v").distinct(), "small", 2 * n)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A group that holds more than this share of all rows is joined by broadcast, the others by shuffle.
 HEAVY_SHARE = 256
+#: Rows of a small table that one file may have.
+FILE_ROWS = 500_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Names this process's folder of saved tables.
 RUN = uuid.uuid4().hex
@@ -30,13 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: this cuts the lineage.
 
+    ``rows`` tells about how many there are, where that is known: a table of few rows then has few files,
+    their number growing with it. It limits nothing.
     The shuffle files of the write go as soon as it has ended, since nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cashloom-{RUN}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
