@@ -135,7 +135,7 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, name_bits:
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
     )
-    hit = lookup(ids, saved(groups, "groups"), ["root", "n_bytes", "tag"], "group_size", total, F.xxhash64("doc_id"))
+    hit = lookup(ids, saved(groups, "groups", total), ["root", "n_bytes", "tag"], "group_size", total, F.xxhash64("doc_id"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return hit.select(
         "doc_id",

@@ -54,6 +54,7 @@ def raked_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
     keys = [f"_{a}" for a in AXES]
     cells = _facts(docs).groupBy(*keys).agg(F.sum("_tokens").cast("double").alias("tokens")).where("tokens > 0")
     cells = saved(cells, "cells")
+    n = cells.count()
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0.0))).first()[0]
     for axis in AXES:
         sums = cells.groupBy(f"_{axis}").agg(F.sum("tokens").alias("_s"))
@@ -66,14 +67,14 @@ def raked_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
         whole = sums.agg(F.coalesce(F.sum("_w"), F.lit(0.0))).first()[0]
         scale = total / whole if whole else 0.0
         cells = cells.join(sums.select(f"_{axis}", (F.col("_w") * scale).alias(f"_target_{axis}")), f"_{axis}")
-    cells = saved(cells.withColumn("raked", F.col("tokens")), "raked")
+    cells = saved(cells.withColumn("raked", F.col("tokens")), "raked", n)
     for _ in range(ROUNDS):
         for axis in AXES:
             sums = cells.groupBy(f"_{axis}").agg(F.sum("raked").alias("_s"))
             cells = cells.join(sums, f"_{axis}").withColumn(
                 "raked", F.when(F.col("_s") > 0, F.col("raked") * F.col(f"_target_{axis}") / F.col("_s")).otherwise(F.lit(0.0))
             ).drop("_s")
-        cells = saved(cells, "raked")
+        cells = saved(cells, "raked", n)
     return cells.select(*keys, "tokens", "raked")
 
 

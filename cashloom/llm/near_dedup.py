@@ -32,6 +32,8 @@ COLLECTIONS = 16
 HASHES = 3
 #: Pairs of one node that are confirmed in one task.
 NODE_PAIRS = 512
+#: Rows of a small table that a set counts as.
+_SET_ROWS = 25
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _lower = bytes(range(256)).lower()
 
@@ -145,7 +147,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(common > 0 and 100 * common >= percent * (both - common))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    pairs = saved(pairs, "pairs")
     total = pairs.count()
     degrees = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
     salts = F.ceil(F.col("degree") / NODE_PAIRS).cast("bigint")
@@ -161,12 +162,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _repeated(rows: DataFrame, keys: list[str], *more) -> DataFrame:
     """``rows`` whose keys occur more than once, with the number of times and the aggregates ``more``."""
     table = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), *more).where("size > 1")
-    return lookup(rows, saved(table, "repeated"), keys, "size", max(1, rows.count()), F.xxhash64("node"), matched=True)
+    total = rows.count()
+    return lookup(rows, saved(table, "repeated", total), keys, "size", max(1, total), F.xxhash64("node"), matched=True)
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
+def _buckets(nodes: DataFrame, total: int) -> DataFrame:
     """node, n, bucket, pivot and weight (of the pivot) for each table key that several of ``nodes`` have."""
-    single = saved(nodes.select("node", "n", F.posexplode("keys").alias("c", "key")).withColumn("c", F.col("c").cast("bigint")), "collections")
+    single = saved(nodes.select("node", "n", F.posexplode("keys").alias("c", "key")).withColumn("c", F.col("c").cast("bigint")), "collections", COLLECTIONS * total)
     shared = _repeated(single, ["key", "c"])
     own = shared.groupBy("node", "n").agg(
         F.array_sort(F.collect_set(F.struct("c", "key"))).alias("k"),  # at most COLLECTIONS
@@ -178,9 +180,9 @@ def _buckets(nodes: DataFrame) -> DataFrame:
             lambda x, i: F.transform(F.slice(F.col("k"), i + 2, F.lit(COLLECTIONS)), lambda y: F.xxhash64(x["c"], x["key"], y["c"], y["key"])),
         )
     )
-    tables = saved(own.select("node", "n", "weight", F.explode(pairs).alias("bucket")), "tables")
+    tables = saved(own.select("node", "n", "weight", F.explode(pairs).alias("bucket")), "tables", COLLECTIONS * total)
     found = _repeated(tables, ["bucket"], F.max(F.struct("weight", (-F.col("node")).alias("o"))).alias("top"))
-    return saved(found.select("node", "n", "bucket", (-F.col("top.o")).alias("pivot"), F.col("top.weight").alias("weight")), "buckets")
+    return saved(found.select("node", "n", "bucket", (-F.col("top.o")).alias("pivot"), F.col("top.weight").alias("weight")), "buckets", tables.count())
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -200,13 +202,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .groupBy("copy_a", "copy_b")
         .agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min_by("keys", "doc_id").alias("keys"), F.min("n_shingles").alias("n"))
     )
-    groups = saved(groups, "groups")
-    links = _links(docs, groups, words, percent)
+    groups = saved(groups, "groups", total)
+    links = _links(docs, groups, total, words, percent)
     found = components(links)
     named = groups.select("copy_a", "copy_b", "node", "copies").join(found, "node", "left")
     named = named.select("copy_a", "copy_b", "copies", F.coalesce("component", "node").alias("component"))
     shown = lookup(
-        all_rows.select("doc_id", "n_shingles", "copy_a", "copy_b"), saved(named, "named"), ["copy_a", "copy_b"], "copies", max(1, total), F.xxhash64("doc_id")
+        all_rows.select("doc_id", "n_shingles", "copy_a", "copy_b"), saved(named, "named", total), ["copy_a", "copy_b"], "copies", max(1, total), F.xxhash64("doc_id")
     )
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
     return shown.select(
@@ -214,62 +216,65 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
 
 
-def _links(docs: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
-    buckets = _buckets(groups.select("node", "n", "keys"))
-    candidates = buckets.select("node").distinct()
+def _links(docs: DataFrame, groups: DataFrame, total: int, words: int, percent: int) -> DataFrame:
+    buckets = _buckets(groups.select("node", "n", "keys"), total)
+    most = buckets.count()
+    candidates = saved(buckets.select("node").distinct(), "candidates", most)
     wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
         candidates.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"
     )
-    sets = saved(full_sets(wanted, words), "sets")
+    sets = saved(full_sets(wanted, words), "sets", candidates.count() * _SET_ROWS)
     to_pivot = buckets.where("node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("weight").alias("weight"))
-    to_pivot = saved(to_pivot, "to-pivot")
+    to_pivot = saved(to_pivot, "to-pivot", most)
     # One pair of each node first: most nodes need no more.
-    first = saved(to_pivot.groupBy("a").agg(F.max(F.struct("weight", (-F.col("b")).alias("o"))).alias("m")).select("a", (-F.col("m.o")).alias("b")), "first")
-    links = saved(confirmed(first, sets, percent), "links")
-    now = saved(components(links), "components")
-    rest = saved(_apart(to_pivot.select("a", "b").join(first, ["a", "b"], "left_anti"), now), "rest")
+    first = saved(to_pivot.groupBy("a").agg(F.max(F.struct("weight", (-F.col("b")).alias("o"))).alias("m")).select("a", (-F.col("m.o")).alias("b")), "first", most)
+    links = saved(confirmed(first, sets, percent), "links", most)
+    now = saved(components(links), "components", most)
+    rest = saved(_apart(to_pivot.select("a", "b").join(first, ["a", "b"], "left_anti"), now), "rest", most)
     if not rest.isEmpty():
-        links = saved(links.union(confirmed(rest, sets, percent)), "links")
-        now = saved(components(links), "components")
-    shared = _rare_shingles(buckets, sets, now, percent)
+        links = saved(links.union(confirmed(rest, sets, percent)), "links", most)
+        now = saved(components(links), "components", most)
+    shared = _rare_shingles(buckets, sets, now, percent, most)
     if shared is None:
         return links
-    tested = saved(first.union(rest), "tested")
+    tested = saved(first.union(rest), "tested", most)
     # Each node against the heaviest node of every other component that has one of its rare shingles.
-    heads = saved(shared.groupBy("shingle", "component").agg(F.max(F.struct("weight", (-F.col("node")).alias("o"), "n", "place")).alias("h")), "heads")
+    heads = saved(shared.groupBy("shingle", "component").agg(F.max(F.struct("weight", (-F.col("node")).alias("o"), "n", "place")).alias("h")), "heads", shared.count())
     heads = heads.select("shingle", "component", (-F.col("h.o")).alias("node"), F.col("h.n").alias("n"), F.col("h.place").alias("place"))
-    for others in (heads, shared):
-        open_pairs = saved(_sharing(shared, others, percent).join(tested, ["a", "b"], "left_anti"), "open")
-        open_pairs = saved(_apart(open_pairs, now), "open")
+    for part in ("heads", "all"):
+        others = heads if part == "heads" else shared
+        open_pairs = saved(_sharing(shared, others, percent).join(tested, ["a", "b"], "left_anti"), "open", most)
+        open_pairs = saved(_apart(open_pairs, now), "open", most)
         if not open_pairs.isEmpty():
-            links = saved(links.union(confirmed(open_pairs, sets, percent)), "links")
-            now = saved(components(links), "components")
-            tested = saved(tested.union(open_pairs), "tested")
+            links = saved(links.union(confirmed(open_pairs, sets, percent)), "links", most)
+            now = saved(components(links), "components", most)
+            tested = saved(tested.union(open_pairs), "tested", most)
             label = now.select("node", F.col("component").alias("_c"))
-            shared = saved(shared.join(label, "node", "left").withColumn("component", F.coalesce("_c", "component")).drop("_c"), "shared")
+            shared = saved(shared.join(label, "node", "left").withColumn("component", F.coalesce("_c", "component")).drop("_c"), "shared", shared.count())
     return links
 
 
-def _rare_shingles(buckets: DataFrame, sets: DataFrame, now: DataFrame, percent: int) -> DataFrame | None:
+def _rare_shingles(buckets: DataFrame, sets: DataFrame, now: DataFrame, percent: int, most: int) -> DataFrame | None:
     """For nodes of buckets with several components, the rarest shingles of their sets that others have too:
     shingle, node, n, place (from 0, rarest first), component, weight; None if there are no such nodes."""
     inside = buckets.select("bucket", "node", "n").join(now, "node", "left")
-    inside = saved(inside.select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "inside")
+    inside = saved(inside.select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "inside", most)
     mixed = inside.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    nodes = saved(inside.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "n", "component").distinct(), "mixed")
+    nodes = saved(inside.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "n", "component").distinct(), "mixed", most)
     if nodes.isEmpty():
         return None
     weights = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-    rows = saved(_exploded(sets.join(nodes.select("node").distinct(), "node", "left_semi")).distinct(), "shingles")
+    rows = saved(_exploded(sets.join(nodes.select("node").distinct(), "node", "left_semi")).distinct(), "shingles", nodes.agg(F.sum("n")).first()[0])
+    total = rows.count()
     counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    known = lookup(rows, saved(counts, "counts"), ["shingle"], "df", max(1, rows.count()), F.xxhash64("node", "shingle"))
+    known = lookup(rows, saved(counts, "counts", total), ["shingle"], "df", max(1, total), F.xxhash64("node", "shingle"))
     place = F.row_number().over(W.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "shingle")) - 1
     placed = known.withColumn("place", place).where("df IS NOT NULL").join(nodes.join(weights, "node"), "node")
     # A partner is at least as large as percent of this set, which needs an overlap of as much.
     placed = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
-    placed = saved(placed.select("shingle", "node", "n", "place", "component", "weight"), "placed")
+    placed = saved(placed.select("shingle", "node", "n", "place", "component", "weight"), "placed", total)
     useful = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return saved(placed.join(useful.select("shingle"), "shingle", "left_semi"), "shared")
+    return saved(placed.join(useful.select("shingle"), "shingle", "left_semi"), "shared", total)
 
 
 def _exploded(sets: DataFrame) -> DataFrame:

@@ -258,7 +258,7 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 
 def _crowded(contexts: DataFrame, group: int) -> DataFrame:
-    return saved(contexts.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group), "crowded")
+    return saved(contexts.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group), "crowded", 1 + contexts.count() // group)
 
 
 def _all_reaches(contexts: DataFrame, length: int, gram: int, group: int) -> DataFrame:
@@ -349,12 +349,12 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     every = saved(_gram_lists(docs, length, gram), "gram-lists")
     total = max(1, every.count())
     texts = saved(
-        every.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("one")), "texts"
+        every.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("one")), "texts", total
     )
     single = every.select("ka", "kb", F.inline(F.arrays_zip("grams", "counts"))).withColumnRenamed("grams", "g")
     # Copies are one text. From here on two texts with one ka would only look for each other's grams too.
     single = saved(single.groupBy("ka", "kb", "g").agg(F.max("counts").alias("n")).select("ka", "g", "n"), "text-grams")
-    table = saved(single.groupBy("g").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("size")).where("n > 1").select("g", "size"), "repeated-grams")
+    table = saved(single.groupBy("g").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("size")).where("n > 1").select("g", "size"), "repeated-grams", single.count())
     wanted = lookup(single.select("ka", "g"), table, ["g"], "size", max(1, single.count()), F.xxhash64("ka", "g"), matched=True)
     wanted = saved(wanted.groupBy("ka").agg(F.collect_list("g").alias("wanted")), "wanted")
     rows = _rows(docs).withColumn("_one", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_sha", F.sha2("data", 256))
@@ -367,12 +367,12 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     )
     contexts = saved(_merged(owner), "merged")
     reach = _all_reaches(contexts, length, gram, group)
-    reach = saved(contexts.select("g", "ca", "cb", "uses").join(reach, ["g", "ca", "cb"]), "reaches")
+    reach = saved(contexts.select("g", "ca", "cb", "uses").join(reach, ["g", "ca", "cb"]), "reaches", contexts.count())
     spans = lookup(found.select("g", "ca", "cb", "ka", "kb", "places"), reach, ["g", "ca", "cb"], "uses", max(1, found.count()), F.xxhash64("ka", "ca"), matched=True)
     spans = spans.select("ka", "kb", "before", "after", F.explode("places").alias("p"))
     spans = spans.groupBy("ka", "kb").agg(F.collect_set(F.struct((F.col("p") - F.col("before")).alias("a"), (F.col("p") + F.col("after")).alias("b"))).alias("spans"))
     cut = _removed(held.select("ka", "kb", "data").join(spans, ["ka", "kb"])).dropDuplicates(["ka", "kb"])
-    known = saved(texts.select("ka", "kb", "copies").join(cut, ["ka", "kb"], "left").where("copies > 1 OR kept_sha IS NOT NULL"), "known")
+    known = saved(texts.select("ka", "kb", "copies").join(cut, ["ka", "kb"], "left").where("copies > 1 OR kept_sha IS NOT NULL"), "known", total)
     out = lookup(every.select("doc_id", "ka", "kb", "sha", "n_bytes"), known, ["ka", "kb"], "copies", total, F.xxhash64("doc_id", "ka"))
     whole = (F.coalesce("copies", F.lit(1)) > 1) & (F.col("n_bytes") >= length)
     return out.select(
