@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation_queries, relational_queries, scalar_queries
+from . import evaluation_queries, output_queries, relational_queries, scalar_queries
 
-QUERIES: dict = {**scalar_queries.QUERIES, **relational_queries.QUERIES, **evaluation_queries.QUERIES}
-ORACLES: dict = {**scalar_queries.ORACLES, **relational_queries.ORACLES, **evaluation_queries.ORACLES}
+_PARTS = (scalar_queries, relational_queries, evaluation_queries, output_queries)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -18,7 +18,7 @@ SOURCES = ("bank", "settlement", "ledger")
 TEMPLATE = ",".join(COLUMNS)
 #: Uploads are small by contract: larger files are refused, not cut.
 UPLOAD_BYTES = 5 << 20
-_CSV = {"sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+_CSV = {"sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
 
 
 @dataclass(frozen=True)
