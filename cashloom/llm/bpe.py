@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import documents, pieces, whole_text
 
 #: Pieces that a worker remembers; as many of the time before are kept as well.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 80_000
 #: Pairs of tokens of which it remembers whether they may stand side by side.
-CACHE_PAIRS = 200_000
+CACHE_PAIRS = 100_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:

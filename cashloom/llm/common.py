@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import HEAVY_SHARE, lookup, saved, shared_dir
 
-__all__ = ["HEAVY_SHARE", "PIECE_BYTES", "documents", "lookup", "pieces", "saved", "shared_dir", "whole_text"]
+__all__ = ["HEAVY_SHARE", "PIECE_BYTES", "documents", "lookup", "pieces", "saved", "shared_dir", "small_batches", "whole_text"]
 
 #: Bytes of input that an Arrow function turns into Python objects at once.
 PIECE_BYTES = 4 << 20
@@ -21,7 +21,14 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have this session hand Arrow functions at most PIECE_BYTES at once (or one row): both the executors
+    and their Python workers hold whole batches, whatever the texts' sizes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PIECE_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

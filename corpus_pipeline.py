@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cashloom.llm import bpe
+from cashloom.llm.common import small_batches
 from cashloom.llm.exact_dedup import exact_duplicates
 from cashloom.llm.mixing import mixed
 from cashloom.llm.near_dedup import near_duplicates
@@ -21,6 +22,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.5; the model is fitted on the labelled rows among them."""
+    small_batches(spark)
     return keep_quality(docs, quality_network(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -32,6 +34,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least doc_id of each component at five words and a similarity of 0.8."""
+    small_batches(spark)
     kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
@@ -43,6 +46,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and digests of the ids and of what they decode to."""
+    small_batches(spark)
     return bpe.round_trip(docs, *bpe.vocabulary(VOCABULARY)).select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
