@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: A group that holds more than this share of all rows is joined by broadcast, the others by shuffle.
 HEAVY_SHARE = 256
 #: Rows of a small table that one file may have.
-FILE_ROWS = 500_000
+FILE_ROWS = 200_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Names this process's folder of saved tables.
 RUN = uuid.uuid4().hex
