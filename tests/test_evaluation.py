@@ -49,4 +49,4 @@ def test_engine_never_imports_truth_or_llm():
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             for name in names:
                 assert part == "llm" or "llm" not in name.split("."), path
-                assert part in ("evaluation", "plans", "llm") or "evaluation" not in name.split("."), path
+                assert part in ("evaluation", "plans", "api.py", "llm") or "evaluation" not in name.split("."), path
