@@ -16,8 +16,10 @@ from ..operators.greedy import greedy_match
 from ..operators.tools import ledger_search
 from .views import BANK, BATCHES, LEDGER, PAYMENTS, SETTLEMENTS, STANDING, TRANSACTIONS, duck, records, run
 
-#: Amounts are spread evenly over a wide range, so that a narrow band keeps candidates few at any size.
-CONFIG = MatchConfig(amount_tolerance_pct=0.002)
+#: Production settings.
+CONFIG = MatchConfig()
+#: The tolerance that JN3 and MAT8 have in their SQL. mat5_exact has it too: equal amounts are in any band.
+SQL_CONFIG = CONFIG.but(amount_tolerance_pct=0.002)
 _L, _P, _S, _B, _K = map(duck, (LEDGER, PAYMENTS, SETTLEMENTS, BATCHES, BANK))
 _RATE = "CASE currency " + " ".join(f"WHEN '{c}' THEN {r}e0" for c, r in FX_TO_INR.items()) + " END"
 _NORMAL = f"SELECT *, CASE WHEN currency = 'INR' THEN amount WHEN {_RATE} IS NULL THEN amount ELSE CAST(floor(amount * {_RATE} + 0.5) AS bigint) END AS inr, currency <> 'INR' AND {_RATE} IS NULL AS fx_unresolved FROM ({_L}) AS l0"
@@ -139,8 +141,8 @@ SELECT *, round(CASE WHEN correct + wrong = 0 THEN 1.0 ELSE correct / (correct +
 
 
 def jn3_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = cand.band_join(_normal_ledger(spark, sf_dir), records(spark, sf_dir, PAYMENTS), CONFIG.amount_tolerance_pct)
-    score = cand.score_amount(F.col("l_amount"), F.col("p_amount"), CONFIG.amount_tolerance_pct)
+    pairs = cand.band_join(_normal_ledger(spark, sf_dir), records(spark, sf_dir, PAYMENTS), SQL_CONFIG.amount_tolerance_pct)
+    score = cand.score_amount(F.col("l_amount"), F.col("p_amount"), SQL_CONFIG.amount_tolerance_pct)
     return pairs.select(F.col("l_id").alias("ledger_id"), F.col("p_id").alias("payment_id"), F.round(score, 6).alias("amount_score"))
 
 
@@ -181,7 +183,7 @@ FROM (SELECT p.id, p.date AS p, l.date AS l, ({_CUM.format('p.date')}) - ({_CUM.
 
 
 def mat5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = cand.candidates(_normal_ledger(spark, sf_dir), records(spark, sf_dir, PAYMENTS), CONFIG)
+    scored = cand.candidates(_normal_ledger(spark, sf_dir), records(spark, sf_dir, PAYMENTS), SQL_CONFIG)
     return tiers.exact_match(scored).select("ledger_id", "payment_id")
 
 
@@ -192,7 +194,7 @@ MAT5 = f"SELECT l.id AS ledger_id, p.id AS payment_id FROM ({_NORMAL}) AS l JOIN
 def mat8_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits among all records, as if no tier had taken any."""
     none = spark.createDataFrame([], "ledger_id string, payment_ids array<string>")
-    found = tiers.split_match(_normal_ledger(spark, sf_dir), records(spark, sf_dir, PAYMENTS), none, CONFIG)
+    found = tiers.split_match(_normal_ledger(spark, sf_dir), records(spark, sf_dir, PAYMENTS), none, SQL_CONFIG)
     return found.select("ledger_id", F.array_join("payment_ids", ",").alias("payment_ids"), F.round("confidence", 6).alias("confidence"))
 
 
