@@ -7,9 +7,11 @@ documents. Every stage works on all that its predecessor kept, and its decisions
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from cashloom.llm import bpe
-from cashloom.llm.common import small_batches
+from cashloom.llm.common import saved, small_batches, whole_text
 from cashloom.llm.exact_dedup import exact_duplicates
 from cashloom.llm.mixing import mixed
 from cashloom.llm.near_dedup import near_duplicates
@@ -27,18 +29,43 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id; of rows that repeat a doc_id with its text, one."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of equal texts the row with the largest doc_id, or one without where none has any; of rows that repeat
+    a doc_id with its text, one. Rows that share a doc_id with different texts are decided each for itself."""
+    kept = exact_duplicates(docs).where("kept OR keep_id IS NULL").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s"))
+    rows = docs.withColumn("_sha", F.sha2(F.encode(whole_text(), "UTF-8"), 256))
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s"))
+    return rows.join(kept, own, "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each component at five words and a similarity of 0.8."""
+    """The least doc_id of each component at five words and a similarity of 0.8; rows without doc_id come last.
+
+    Rows that share a doc_id with different texts are documents of their own, and so are rows without one.
+    """
     small_batches(spark)
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR doc_id IS NULL")
+    if not odd.isEmpty():
+        rows = saved(_keyed(docs), "keyed")
+        kept = near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80).where("kept").select(F.col("doc_id").alias("_key"))
+        return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
     kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _key, a bigint of its own for each doc_id and text, in the order of doc_id, nulls last."""
+    rows = docs.withColumn("_sha", F.sha2(F.encode(whole_text(), "UTF-8"), 256))
+    known = rows.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("_sha").alias("_s")).distinct()
+    named = known.where("_id IS NOT NULL").withColumn("_j", F.row_number().over(W.partitionBy("_id").orderBy("_s")) - 1)
+    named = saved(named, "named")
+    step, top = named.agg(F.coalesce(F.max("_j"), F.lit(0)) + 1, F.coalesce(F.max("_id"), F.lit(0)) + 1).first()
+    nameless = known.where("_id IS NULL").withColumn("_j", F.monotonically_increasing_id())
+    keys = named.select("_id", "_s", (F.col("_id") * F.lit(step) + F.col("_j")).cast("bigint").alias("_key"))
+    keys = saved(keys.unionByName(nameless.select("_id", "_s", (F.lit(top * step) + F.col("_j")).cast("bigint").alias("_key"))), "keys")
+    own = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s"))
+    return rows.join(keys, own).select(*docs.columns, "_key")
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by raked weights of source, language and topic."""
     return mixed(docs, budget=MIX_BUDGET).where("_kept").select(*docs.columns)

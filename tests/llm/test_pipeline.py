@@ -4,6 +4,7 @@ import hashlib
 
 import tiktoken
 from pyspark.sql import functions as F
+from helpers import DOC
 from test_dedup import brute_near
 
 import corpus_pipeline
@@ -62,3 +63,23 @@ def test_stages_stand_empty_tables_and_repeats(spark, data):
     assert corpus_pipeline.exact_dedup(spark, twice, data).count() <= 40
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), data).count() == 0
+
+
+def _rows(spark, pairs):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in pairs], DOC)
+
+
+def test_exact_dedup_decides_by_row(spark, data):
+    pairs = [(5, "A"), (5, "B"), (9, "A"), (None, "C"), (None, "D"), (None, "D"), (None, "A"), (3, ""), (3, None), (7, "E"), (7, "E")]
+    got = sorted(((r.doc_id, r.text or "") for r in corpus_pipeline.exact_dedup(spark, _rows(spark, pairs), data).collect()), key=str)
+    assert got == sorted([(9, "A"), (5, "B"), (None, "C"), (None, "D"), (3, ""), (7, "E")], key=str)
+
+
+def test_near_dedup_decides_by_row(spark, data):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    pairs = [(3, x), (5, x + " more"), (5, y), (8, y + " more"), (None, z), (None, z + " more"), (None, x + " other"), (None, "alone"), (None, "")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, _rows(spark, pairs), data).collect()]
+    assert sum(t.startswith("z0 ") for _, t in got) == 1
+    assert sorted((p for p in got if not p[1].startswith("z0 ")), key=str) == sorted([(3, x), (5, y), (None, "alone"), (None, "")], key=str)
+    own = [(5, x), (5, x + " more"), (6, y)]
+    assert len(corpus_pipeline.near_dedup(spark, _rows(spark, own), data).collect()) == 2
