@@ -83,3 +83,16 @@ def test_near_dedup_decides_by_row(spark, data):
     assert sorted((p for p in got if not p[1].startswith("z0 ")), key=str) == sorted([(3, x), (5, y), (None, "alone"), (None, "")], key=str)
     own = [(5, x), (5, x + " more"), (6, y)]
     assert len(corpus_pipeline.near_dedup(spark, _rows(spark, own), data).collect()) == 2
+
+
+def test_run_rereads_each_stage(spark, data, monkeypatch):
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs.inputFiles())
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage)])
+    out = corpus_pipeline.run(spark, data)
+    assert out.count() == spark.read.parquet(f"{data}/documents.parquet").count()
+    assert not set(seen[0]) & set(seen[1]) and not set(seen[1]) & set(out.inputFiles())
