@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..evaluation import scores
 from ..functions.tables import CLASSES, THRESHOLDS
-from ..operators.reconcile import Reconciliation, reconcile
+from ..operators.reconcile import Reconciliation, matches_of, reconcile
 from .relational_queries import CONFIG
 from .views import LEDGER, PAYMENTS, duck, finance_batch, run
 
@@ -194,8 +194,8 @@ def _run(spark: SparkSession, sf_dir: str) -> Reconciliation:
 
 
 def pipe_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole run over all orders, payments and credits: its matches. String scores have no SQL."""
-    return _run(spark, sf_dir).matches.select("ledger_id", F.array_join("payment_ids", ",").alias("payment_ids"), "tier", F.round("confidence", 6).alias("confidence"))
+    """The matches of a run over all orders and payments. String scores have no SQL."""
+    return matches_of(finance_batch(spark, sf_dir)).select("ledger_id", F.array_join("payment_ids", ",").alias("payment_ids"), "tier", F.round("confidence", 6).alias("confidence"))
 
 
 def cls1_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,6 @@ from .views import BANK, BATCHES, LEDGER, PAYMENTS, SETTLEMENTS, STANDING, TRANS
 
 #: Production settings.
 CONFIG = MatchConfig()
-#: The tolerance that JN3 and MAT8 have in their SQL. mat5_exact has it too: equal amounts are in any band.
-SQL_CONFIG = CONFIG.but(amount_tolerance_pct=0.002)
 _L, _P, _S, _B, _K = map(duck, (LEDGER, PAYMENTS, SETTLEMENTS, BATCHES, BANK))
 _RATE = "CASE currency " + " ".join(f"WHEN '{c}' THEN {r}e0" for c, r in FX_TO_INR.items()) + " END"
 _NORMAL = f"SELECT *, CASE WHEN currency = 'INR' THEN amount WHEN {_RATE} IS NULL THEN amount ELSE CAST(floor(amount * {_RATE} + 0.5) AS bigint) END AS inr, currency <> 'INR' AND {_RATE} IS NULL AS fx_unresolved FROM ({_L}) AS l0"
@@ -141,18 +139,18 @@ SELECT *, round(CASE WHEN correct + wrong = 0 THEN 1.0 ELSE correct / (correct +
 
 
 def jn3_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = cand.band_join(_normal_ledger(spark, sf_dir), records(spark, sf_dir, PAYMENTS), SQL_CONFIG.amount_tolerance_pct)
-    score = cand.score_amount(F.col("l_amount"), F.col("p_amount"), SQL_CONFIG.amount_tolerance_pct)
+    pairs = cand.band_join(_normal_ledger(spark, sf_dir), records(spark, sf_dir, PAYMENTS), CONFIG.amount_tolerance_pct)
+    score = cand.score_amount(F.col("l_amount"), F.col("p_amount"), CONFIG.amount_tolerance_pct)
     return pairs.select(F.col("l_id").alias("ledger_id"), F.col("p_id").alias("payment_id"), F.round(score, 6).alias("amount_score"))
 
 
 _PAIRS = f"""
 SELECT l.ord AS l_ord, p.ord AS p_ord, l.id AS ledger_id, p.id AS payment_id, l.inr AS l_amount, p.amount AS p_amount
-FROM ({_NORMAL}) AS l JOIN ({_P}) AS p ON p.amount >= l.inr - l.inr * 0.00002e0 AND p.amount <= l.inr + l.inr * 0.00002e0
-WHERE CAST(abs(p.amount - l.inr) AS double) <= l.inr * 0.00002e0
+FROM ({_NORMAL}) AS l JOIN ({_P}) AS p ON p.amount >= l.inr - l.inr * 0.005e0 AND p.amount <= l.inr + l.inr * 0.005e0
+WHERE CAST(abs(p.amount - l.inr) AS double) <= l.inr * 0.005e0
 """
 JN3 = f"""
-SELECT ledger_id, payment_id, round(CASE WHEN l_amount = p_amount THEN 1.0 ELSE greatest(0.0, 1 - CAST(abs(l_amount - p_amount) AS double) / l_amount * 100 / 0.002e0) END, 6) AS amount_score
+SELECT ledger_id, payment_id, round(CASE WHEN l_amount = p_amount THEN 1.0 ELSE greatest(0.0, 1 - CAST(abs(l_amount - p_amount) AS double) / l_amount * 100 / 0.5e0) END, 6) AS amount_score
 FROM ({_PAIRS}) AS p
 """
 
@@ -183,8 +181,8 @@ FROM (SELECT p.id, p.date AS p, l.date AS l, ({_CUM.format('p.date')}) - ({_CUM.
 
 
 def mat5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = cand.candidates(_normal_ledger(spark, sf_dir), records(spark, sf_dir, PAYMENTS), SQL_CONFIG)
-    return tiers.exact_match(scored).select("ledger_id", "payment_id")
+    edges = cand.exact_candidates(_normal_ledger(spark, sf_dir), records(spark, sf_dir, PAYMENTS), CONFIG)
+    return tiers.exact_match(edges).select("ledger_id", "payment_id")
 
 
 # An invoice's reference is its own, so equal amounts under it are the exact matches.
@@ -194,14 +192,14 @@ MAT5 = f"SELECT l.id AS ledger_id, p.id AS payment_id FROM ({_NORMAL}) AS l JOIN
 def mat8_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits among all records, as if no tier had taken any."""
     none = spark.createDataFrame([], "ledger_id string, payment_ids array<string>")
-    found = tiers.split_match(_normal_ledger(spark, sf_dir), records(spark, sf_dir, PAYMENTS), none, SQL_CONFIG)
+    found = tiers.split_match(_normal_ledger(spark, sf_dir), records(spark, sf_dir, PAYMENTS), none, CONFIG)
     return found.select("ledger_id", F.array_join("payment_ids", ",").alias("payment_ids"), F.round("confidence", 6).alias("confidence"))
 
 
 MAT8 = f"""
 WITH r AS (SELECT *, 'INV' || regexp_extract(memo, 'INV(\\d+)', 1) AS ref FROM ({_P}) AS p WHERE regexp_matches(memo, 'INV\\d{{2,6}}')),
 c AS (SELECT l.id AS ledger_id, p.id || ',' || q.id AS payment_ids, CASE WHEN p.amount + q.amount = l.inr THEN 1.0
-             ELSE greatest(0.0, 1 - CAST(abs(p.amount + q.amount - l.inr) AS double) / l.inr * 100 / 0.002e0) END AS c
+             ELSE greatest(0.0, 1 - CAST(abs(p.amount + q.amount - l.inr) AS double) / l.inr * 100 / 0.5e0) END AS c
       FROM ({_NORMAL}) AS l JOIN r p ON p.ref = replace(l.reference, '-', '') JOIN r q ON q.ref = p.ref AND p.ord < q.ord)
 SELECT ledger_id, payment_ids, round(c, 6) AS confidence FROM c WHERE c > 0
 """
@@ -227,12 +225,21 @@ def jn6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DAY = f"""
-SELECT a.batch_id AS a, b.batch_id AS b FROM (SELECT *, batch_ord // 1000 AS k FROM ({_B}) AS x WHERE expected_net > 0) AS a
+SELECT a.batch_id AS a, b.batch_id AS b, a.date, a.batch_ord AS a_ord, b.batch_ord AS b_ord, 1 - CAST(abs(a.expected_net - b.expected_net) AS double) / a.expected_net AS score FROM (SELECT *, batch_ord // 1000 AS k FROM ({_B}) AS x WHERE expected_net > 0) AS a
 JOIN (SELECT *, batch_ord // 1000 AS k FROM ({_B}) AS y WHERE expected_net > 0) AS b
 ON a.date = b.date AND a.k % 2 = 0 AND b.k % 2 = 1 AND 1 - CAST(abs(a.expected_net - b.expected_net) AS double) / a.expected_net >= 0.98
 """
 
 
+# The greedy run itself: each day's edges, the best first, folded into the list of those taken.
+JN5 = f"""
+WITH g AS (SELECT list({{'a': a, 'b': b, 's': score}} ORDER BY score DESC, a_ord, b_ord) AS l FROM ({_DAY}) AS d GROUP BY date),
+w AS (SELECT unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN list_contains(list_transform(acc, lambda y: y.a), x[1].a)
+             OR list_contains(list_transform(acc, lambda y: y.b), x[1].b) THEN acc ELSE list_concat(acc, x) END)) AS e FROM g)
+SELECT e.a AS a, e.b AS b, round(e.s, 6) AS score FROM w
+"""
+
+
 def jn9_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _day_edges(spark, sf_dir).select(F.substring("a", 6, 20).cast("bigint").alias("a"), F.substring("b", 6, 20).cast("bigint").alias("b"))
     return components(edges)
@@ -466,7 +473,7 @@ SELECT CAST(q_id AS int) AS q_id, question, (SELECT id FROM ({_L}) AS l WHERE co
 _ALL = {
     "agg1_batch_rollup": AGG1, "agg3_fee_math": AGG3, "prj1_fx_normalize": PRJ1, "prj1_fx_unresolved": PRJ1U, "prj3_outgoing_filter": PRJ3, "prj10_ledger_search": PRJ10,
     "prj11_exception_page": PRJ11, "jn2_standing_orders": JN2, "jn2_no_order": JN2N, "jn16_true_orders": JN16, "jn3_band_join": JN3, "mat2_date_score": MAT2, "mat4_candidates": None,
-    "mat5_exact": MAT5, "mat8_splits": MAT8, "jn5_greedy": None, "jn6_assignment": None, "jn8_tieout": JN8, "jn9_components": JN9, "jn12_residual": JN12, "jn13_duplicates": JN13,
+    "mat5_exact": MAT5, "mat8_splits": MAT8, "jn5_greedy": JN5, "jn6_assignment": None, "jn8_tieout": JN8, "jn9_components": JN9, "jn12_residual": JN12, "jn13_duplicates": JN13,
     "cls2_bank_exceptions": CLS2, "top1_alternatives": TOP1, "win1_cumulative": WIN1, "win3_ambiguity": WIN3, "agg4_tier_breakdown": AGG4, "agg5_reason_counts": AGG5,
     "agg17_histogram": AGG17, "set1_tier_union": SET1, "fc1_forecast": FC1, "fc2_band": FC2, "str12_find_id": STR12,
 }
