@@ -159,5 +159,5 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws(";", F.array_join(F.col("codes").cast("array<string>"), ","), F.array_join(F.col("times").cast("array<string>"), ","))
     return got.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
-        F.concat(F.size("codes").cast("string"), F.lit(":"), F.sha2(line, 256)).alias("feature"),
+        F.concat(F.size("codes").cast("string"), F.lit(":"), F.sha2(line, 256)).alias("feature"), "codes", "times",
     )

@@ -1,14 +1,15 @@
 """Operator 9: token counts by a map-side two-tier lookup.
 
-Tier one is a compact table of the corpus's frequent pre-tokens and their numbers of tokens, broadcast.
-Tier two is each worker's cache, which has the library encode what the table lacks. No pre-token is
-shuffled: the table's making moves a bounded sketch of each task, and the count itself nothing.
+Tier one is a compact table of frequent pre-tokens and their numbers of tokens, broadcast. Which ones are
+frequent the vocabulary tells: a merge earned its entry by its frequency, so the entries that are whole
+pre-tokens are the table, and its size is bounded by the vocabulary's whatever the corpus. Tier two is
+each worker's cache, which has the library encode what the table lacks. The corpus is read once, and
+nothing of it is shuffled.
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -21,9 +22,8 @@ from .common import documents, pieces, whole_text
 
 # fixed value: how the byte-level pre-tokenizer splits a text
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of the broadcast table, and of the sketch that a task hands on.
-TABLE_PIECES = 16_384
-SKETCH_PIECES = 8_192
+#: Entries of the broadcast table at most, those with the least ids: the earliest merges.
+TABLE_PIECES = 65_536
 #: Longer pre-tokens stay out of the table, so that its size has a bound.
 TABLE_PIECE_CHARS = 64
 CACHE_PIECES = 500_000
@@ -88,28 +88,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
 
 
-def frequent_pieces(docs: DataFrame) -> list[str]:
-    """The corpus's most frequent pre-tokens, from every row: at most TABLE_PIECES.
+def frequent_pieces(tokenizer_json: str) -> list[str]:
+    """Entries of the vocabulary that are whole pre-tokens, in the order of their ids.
 
-    Each task counts all of its pre-tokens, dropping the rare ones when it holds too many, and hands on
-    SKETCH_PIECES of them. Which ones end up in the table decides about speed alone, never about results.
+    Which ones these are decides about speed alone, never about results.
     """
+    from tokenizers import Tokenizer, decoders
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, split = Counter(), regex.compile(PATTERN).findall
-        for batch in pieces(batches):
-            for text in batch.column("text").to_pylist():
-                seen.update(split(text))
-            if len(seen) > 16 * SKETCH_PIECES:
-                seen = Counter(dict(seen.most_common(8 * SKETCH_PIECES)))
-        top = [(p, n) for p, n in seen.most_common(SKETCH_PIECES) if len(p) <= TABLE_PIECE_CHARS]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"]
-        )
-
-    sketches = _texts(docs).select("text").mapInArrow(run, "piece string, n bigint")
-    top = sketches.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(TABLE_PIECES)
-    return [r.piece for r in top.collect()]
+    special, split, text = set(special_strings(tokenizer_json)), regex.compile(PATTERN).findall, decoders.ByteLevel()
+    vocabulary = Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=False)
+    found = (text.decode([token]) for token in sorted(vocabulary, key=vocabulary.__getitem__))
+    whole = [p for p in found if 0 < len(p) <= TABLE_PIECE_CHARS and "\ufffd" not in p and p not in special and split(p) == [p]]
+    return list(dict.fromkeys(whole))[:TABLE_PIECES]
 
 
 _counters: dict = {}
@@ -123,7 +113,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, limit: int = 512) -> Data
     count as the library's default has it, one token each.
     """
     driver = PieceCounter(tokenizer_json, {})
-    table = docs.sparkSession.sparkContext.broadcast((tokenizer_json, PieceTable({p: driver[p] for p in frequent_pieces(docs)})))
+    table = docs.sparkSession.sparkContext.broadcast((tokenizer_json, PieceTable({p: driver[p] for p in frequent_pieces(tokenizer_json)})))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, compact = table.value

@@ -28,13 +28,13 @@ WIDTH = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 EPOCHS = 12
-#: Small samples are gone through more often, for so many steps.
-LEAST_STEPS = 4_000
 BATCH = 32
 #: Embeddings shrink so much after each round.
 DECAY = 0.95
 #: A word hash needs so many fitting texts to get an embedding of its own.
 LEAST_TEXTS = 4
+#: Embeddings' first values for one standard deviation.
+START_SCALE = 0.2
 #: Bytes of a word that are hashed: all of it, and its beginning.
 PARTS = (64, 3, 5)
 #: Labelled rows that a model is fitted on, at most.
@@ -188,10 +188,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 11) -> WordNetwork:
     order = rng.permutation(len(texts))
     kept, apart = order[len(texts) // 5 :], order[: len(texts) // 5]
     hashes = [word_hashes([t])[0].astype(np.int32) for t in texts]
-    spread = np.zeros((len(PARTS), 1 << HASH_BITS), np.int32)
-    for i in kept:
-        for k in range(len(PARTS)):
-            spread[k, np.unique(hashes[i][k])] += 1
+    spread = _spread([hashes[i] for i in kept])
     known = spread >= LEAST_TEXTS
     number = np.zeros(spread.shape, np.int32)
     number[known] = 1 + np.arange(known.sum())
@@ -207,12 +204,13 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 11) -> WordNetwork:
         _language_table(), np.zeros(len(LANGUAGES)),
     )
     y = np.array(labels, np.float32)
+    _start_from_counts(net, known, spread, _spread([hashes[i] for i in kept if labels[i] == 1]), len(kept))
     if len(set(labels)) < 2:
         net.out[:] = 0
         net.out_bias[0] = 0 if not labels else (4 if labels[0] else -4)
         return net
     adam = Adam(net.weights(), 0.01)
-    for _ in range(max(EPOCHS, min(60, LEAST_STEPS * BATCH // len(kept)))):
+    for _ in range(EPOCHS):
         deal = rng.permutation(kept)
         for at in range(0, len(deal), BATCH):
             batch = deal[at : at + BATCH]
@@ -223,6 +221,29 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 11) -> WordNetwork:
     return net
 
 
+def _spread(hashes: list[np.ndarray]) -> np.ndarray:
+    """In how many texts each hash stands, for each part."""
+    out = np.zeros((len(PARTS), 1 << HASH_BITS), np.int32)
+    for own in hashes:
+        for k in range(len(PARTS)):
+            out[k, np.unique(own[k])] += 1
+    return out
+
+
+def _start_from_counts(net: WordNetwork, known: np.ndarray, spread: np.ndarray, marked: np.ndarray, n: int) -> None:
+    """Let training begin where few texts already tell something: one direction of the embeddings, read by
+    the first filter, says by how many standard deviations a hash stands in more texts of label 1 than
+    chance would have it."""
+    share = marked.max(axis=1, initial=0).max() / max(1, n)
+    base = np.clip(share, 0.01, 0.5)
+    texts, own = spread[known], marked[known]
+    z = (own - texts * base) / np.sqrt(texts * base * (1 - base) + 1)
+    net.embedding[1:, 0] = START_SCALE * z
+    net.filters[0][0, :, 0] = 0
+    net.filters[0][0, 0, 0] = 1
+    net.out[0] = 1
+
+
 def _calibrate(net: WordNetwork, texts: list[bytes], y: np.ndarray) -> None:
     """The threshold of a language makes the fewest errors on its texts, all texts' weighing in a little;
     it is midway in the widest gap between logits that does."""

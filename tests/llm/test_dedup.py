@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cashloom.llm import near_dedup, substrings
-from cashloom.llm.exact_dedup import exact_duplicates
+from cashloom.llm.exact_dedup import block_names, exact_duplicates
 
 
 def check_exact(rows, texts):
@@ -39,6 +39,36 @@ def test_exact_edges(spark):
     assert got == sorted([(1, 1, 3, True), (1, 1, 3, True), (None, 1, 3, False), (None, None, 1, False)], key=str)
 
 
+@pytest.mark.parametrize("bits", [64, 3])
+def test_block_names_are_places_in_the_sorted_blocks(spark, bits):
+    """Equal blocks have one name, different ones different names, and names follow the order of (code, bytes)."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    texts = {i: "".join(rng.choice("abc") for _ in range(rng.choice([0, 2, 5, 11]))) for i in range(60)}
+    rows, names = block_names(docs(spark, texts, clash=False), 2, bits)
+    own = {r["_row"]: r["doc_id"] for r in rows.collect()}
+    got = {(own[r["_row"]], r.pos): r.name for r in names.collect()}
+    want = {(k, i): t[2 * i : 2 * i + 2].encode() for k, t in texts.items() for i in range(max(1, -(-len(t) // 2)))}
+    assert got.keys() == want.keys()
+    code = {r.b: r.c % (1 << bits) if bits < 64 else r.c for r in spark.createDataFrame([(bytearray(b),) for b in set(want.values())], "b binary").select("b", F.xxhash64("b").alias("c")).collect()}
+    code = {bytes(b): c for b, c in code.items()}
+    of = {b: {got[k] for k in got if want[k] == b} for b in code}
+    assert all(len(v) == 1 for v in of.values())
+    ranked = sorted(code, key=lambda b: (code[b], b))
+    values = [min(of[b]) for b in ranked]
+    assert values == sorted(values) and len(set(values)) == len(values)
+
+
+def test_exact_long_and_repeated(spark):
+    """Texts of a megabyte that differ in the last byte, and rows that repeat a doc_id with other texts."""
+    long = "word " * 250_000
+    check_exact(exact_duplicates(docs(spark, {1: long, 2: long + "x", 3: long, 4: long + "y"}, clash=False)).collect(), {1: long, 2: long + "x", 3: long, 4: long + "y"})
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "doc_id bigint, text string")
+    got = sorted(map(tuple, exact_duplicates(df).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    assert got == [(1, 1, 1, True), (1, 2, 2, False), (2, 2, 2, True)]
+
+
 def test_exact_hot_group(spark):
     texts = {i: "hot" if i % 3 else f"cold {i}" for i in range(900)}
     check_exact(exact_duplicates(docs(spark, texts, clash=False)).collect(), texts)
