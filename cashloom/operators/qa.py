@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -49,7 +50,9 @@ def context(run: Reconciliation, record_id: str) -> dict:
 def template_answer(found: dict) -> str:
     match, exception, decision = found["match"], found["exception"], found["decision"]
     tools = ", ".join(dict.fromkeys((decision or {}).get("tools_called") or []))
-    checked = f" Checked with {tools}." if tools else ""
+    # Only the model's own tier makes calls for a single record; for the others these are what the run is able to do.
+    made = (decision or {}).get("tier") == "agent"
+    checked = f" {'The model called' if made else 'The run had at hand'}: {tools}." if tools else ""
     if match:
         why = "; ".join(match["evidence"]) or "no evidence recorded"
         return f"{match['ledger_id']} was matched to {', '.join(match['payment_ids'])} ({match['tier']}, confidence {match['confidence']:.2f}): {why}.{checked}"
@@ -58,6 +61,16 @@ def template_answer(found: dict) -> str:
     return f"Nothing in this run is about {found['id']}."
 
 
+def _other_ids(better: str, plain: str, ids: DataFrame) -> bool:
+    """Whether ``better`` names a record of the run that ``plain`` does not, by its whole id."""
+
+    def held(text: str):
+        words = F.lit(" " + re.sub(r"[^\w-]+", " ", text.lower()) + " ")
+        return words.contains(F.concat(F.lit(" "), F.lower("id"), F.lit(" ")))
+
+    return not ids.where(held(better) & ~held(plain)).isEmpty()
+
+
 def answer(run: Reconciliation, question: str, polish: Callable[[str, dict], str] | None = None) -> dict:
     """Answer by template, or by ``polish`` if it succeeds and names no id beyond the question's."""
     record_id = find_record_id([question], known_ids(run)).first()["id"]
@@ -68,7 +81,7 @@ def answer(run: Reconciliation, question: str, polish: Callable[[str, dict], str
     if polish:
         try:
             better = polish(plain, found)
-            if isinstance(better, str) and better.strip():
+            if isinstance(better, str) and better.strip() and not _other_ids(better, plain, known_ids(run)):
                 return {"id": record_id, "answer": better, "source": "model"}
         except Exception:
             return {"id": record_id, "answer": plain, "source": "template"}

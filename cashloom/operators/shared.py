@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 256
 #: Rows of a small table that one file may have.
 FILE_ROWS = 200_000
+#: Rows that are worth a task of their own.
+TASK_ROWS = 20_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Names this process's folder of saved tables.
 RUN = uuid.uuid4().hex
@@ -20,13 +22,16 @@ RUN = uuid.uuid4().hex
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share, as spark.checkpoint.dir names it.
 
-    Only where that setting is absent (tests in local mode) a temporary folder is made and set.
+    Only where that setting is absent and everything runs in one process (tests) a temporary folder is made
+    and set; on a cluster each machine would have its own, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = jvm_dir.get() if jvm_dir.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cashloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -42,7 +47,8 @@ def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cashloom-{RUN}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
-        df = df.coalesce(1 + rows // FILE_ROWS)
+        # Never fewer tasks than the cluster has cores, unless there is next to nothing for each.
+        df = df.coalesce(1 + max(rows // FILE_ROWS, min(spark.sparkContext.defaultParallelism, rows // TASK_ROWS)))
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -279,8 +279,8 @@ def cls2_bank_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLS2 = f"""
 SELECT bank_id, CASE WHEN batch_id IS NULL THEN 'orphan' ELSE 'fee_math_break' END AS reason,
-       CASE WHEN batch_id IS NULL THEN 'Bank credit has no corresponding settlement batch'
-            ELSE 'gross − fees − tax ± refunds differs from the credit by ' || CAST(fee_math_delta AS varchar) || ' paisa' END AS detail
+       CASE WHEN batch_id IS NULL THEN 'credit without a batch'
+            ELSE 'net of the batch less the credit: ' || CAST(fee_math_delta AS varchar) END AS detail
 FROM ({JN8}) AS t WHERE batch_id IS NULL OR NOT fee_math_ok
 """
 

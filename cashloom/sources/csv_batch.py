@@ -64,16 +64,17 @@ def errors(rows: DataFrame) -> DataFrame:
     number = r"^\d+(\.\d{1,2})?$"
     again = F.row_number().over(W.partitionBy("source", "id").orderBy("line_no")) > 1
     real_date = F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date("date", "yyyy-MM-dd").isNotNull()
+    # fixed values that a user may look for: the column in quotes, and "duplicate"
     message = (
-        F.when(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), F.concat(F.lit(f'"source" must be one of {"/".join(SOURCES)}, '), got("source")))
-        .when(F.col("id").isNull(), F.lit('"id" is required.'))
-        .when(F.col("_again"), F.concat(F.lit('duplicate id "'), F.col("id"), F.lit('" for source "'), F.col("source"), F.lit('".')))
-        .when(~F.coalesce(real_date, F.lit(False)), F.concat(F.lit('"date" must be ISO 8601 (YYYY-MM-DD), '), got("date")))
-        .when(~F.coalesce(F.col("amount").rlike(r"^-?\d+(\.\d{1,2})?$"), F.lit(False)), F.concat(F.lit('"amount" must be a plain number like 1234.56, '), got("amount")))
-        .when(F.col("currency").isNull(), F.lit('"currency" is required.'))
+        F.when(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), F.concat(F.lit(f'"source" can be {", ".join(SOURCES)}; '), got("source")))
+        .when(F.col("id").isNull(), F.lit('"id" has no value.'))
+        .when(F.col("_again"), F.concat(F.lit('duplicate id "'), F.col("id"), F.lit('" among rows of '), F.col("source"), F.lit('.')))
+        .when(~F.coalesce(real_date, F.lit(False)), F.concat(F.lit('"date" is no day like 2026-01-31; '), got("date")))
+        .when(~F.coalesce(F.col("amount").rlike(r"^-?\d+(\.\d{1,2})?$"), F.lit(False)), F.concat(F.lit('"amount" is no number of two decimals at most; '), got("amount")))
+        .when(F.col("currency").isNull(), F.lit('"currency" has no value.'))
     )
     for name in ("fees", "tax"):
-        message = message.when(~F.coalesce(F.col(name).rlike(number), F.lit(True)), F.concat(F.lit(f'"{name}" must be a non-negative number, '), got(name)))
+        message = message.when(~F.coalesce(F.col(name).rlike(number), F.lit(True)), F.concat(F.lit(f'"{name}" is no number from 0 on; '), got(name)))
     found = rows.withColumn("_again", again).withColumn("error", F.concat(F.lit("row "), F.col("line_no").cast("string"), F.lit(": "), message))
     return found.drop("_again")
 
@@ -83,12 +84,12 @@ def parse_frame(spark: SparkSession, text: DataFrame, dataset_id: str) -> Parsed
     lines = _lines(spark, text)
     first = lines.where("line_no = 1").first()
     if first is None:
-        return Parsed(None, "The file is empty.")
+        return Parsed(None, "There is nothing in the file (empty).")
     width = first["line"].count(",") + 1
     header = lines.where("line_no = 1").select(split_line(F.col("line"), width).alias("h")).first()["h"]
     missing = [c for c in REQUIRED if c not in header]
     if missing:
-        return Parsed(None, f"Missing required column(s): {', '.join(missing)}.")
+        return Parsed(None, f"Columns that an upload needs are not there: {', '.join(missing)}.")
     place = {name: i for i, name in enumerate(header)}
     cells = lines.where("line_no > 1").select("line_no", split_line(F.col("line"), width).alias("_f"))
     rows = cells.select(
@@ -101,7 +102,7 @@ def parse_frame(spark: SparkSession, text: DataFrame, dataset_id: str) -> Parsed
     if summary["error"]:
         return Parsed(None, summary["error"])
     if not summary["n"]:
-        return Parsed(None, "No data rows found.")
+        return Parsed(None, "No data rows follow the header.")
     records = canonical(
         rows.select(
             F.col("line_no").alias("ord"), "id", "source", F.col("date").cast("date").alias("date"), to_minor(F.col("amount")).alias("amount"), F.upper("currency").alias("currency"),
