@@ -63,6 +63,17 @@ def dashboard(stats: DataFrame, tiers: DataFrame, classes: DataFrame | None = No
     return cost, shares, bands
 
 
+def band_width(forecast: DataFrame) -> DataFrame:
+    """A forecast with how wide its band is in each week."""
+    return forecast.withColumn("band_width", F.col("band_high") - F.col("band_low"))
+
+
+def last_decisions(decisions: DataFrame, seq: str) -> DataFrame:
+    """One decision for each subject: the last by ``seq``."""
+    last = decisions.groupBy("subject_id").agg(F.max_by(F.struct(*decisions.columns), seq).alias("_d"))
+    return last.select("_d.*")
+
+
 def report(run: Reconciliation) -> str:
     """Counts by tier and reason as plain text."""
     lines = [f"run {run.dataset_id}: {run.seconds:.1f} s, agent {run.agent.status}"]
