@@ -128,7 +128,7 @@ class WordNetwork:
                 who = [i for i, _ in queue]
                 hashes, first = word_hashes([t for _, t in queue])
                 rows, begin = self.numbered(hashes, first)
-                np.maximum.at(pooled, who, np.maximum.reduceat(self.respond(rows), begin[:-1], axis=0))
+                np.maximum.at(pooled, who, _by_text(self.respond(rows), begin))
                 spoken = self.language[hashes[0]]
                 texts_of = np.repeat(who, np.diff(first))
                 np.add.at(hits, (texts_of[spoken > 0], spoken[spoken > 0] - 1), 1)
@@ -154,6 +154,17 @@ class WordNetwork:
         return sigmoid(logits - self.threshold[language]), [LANGUAGES[k] for k in language]
 
 
+def _ends(begin: np.ndarray) -> np.ndarray:
+    """Where each text's filters end: one that begins later would reach into the next text."""
+    return begin[1:] - max(WIDTHS) + 1
+
+
+def _by_text(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The maximum of each filter over the positions of each text alone."""
+    edges = np.stack([begin[:-1], _ends(begin)], axis=1).ravel()[:-1]
+    return np.maximum.reduceat(values, edges, axis=0)[::2]
+
+
 def steps(text: bytes) -> Iterator[bytes]:
     """A long text in steps that end where a word ends and repeat the last few words before them.
 
@@ -261,8 +272,7 @@ def _gradients(net: WordNetwork, hashes: list[np.ndarray], y: np.ndarray) -> lis
     first = np.cumsum([0, *(h.shape[1] for h in hashes)])
     rows, begin = net.numbered(np.concatenate(hashes, axis=1), first)
     values = net.respond(rows)
-    ends = np.minimum(begin[1:], len(values))
-    at = np.stack([a + values[a:b].argmax(axis=0) for a, b in zip(begin[:-1], ends, strict=True)])
+    at = np.stack([a + values[a:b].argmax(axis=0) for a, b in zip(begin[:-1], _ends(begin), strict=True)])
     pooled = np.take_along_axis(values, at, axis=0) + net.bias
     active = np.maximum(pooled, 0)
     error = (sigmoid(active @ net.out + net.out_bias[0]) - y).astype(np.float32) / len(y)

@@ -154,3 +154,78 @@ def test_fingerprints_do_not_depend_on_company(monkeypatch):
     who, code, _ = media.pair_codes(np.concatenate([s for s, _ in alone]), np.concatenate([b for _, b in alone]), owner)
     for i, (s, b) in enumerate(alone):
         assert media.pair_codes(s, b, np.zeros(len(s), int))[1].tolist() == code[who == i].tolist()
+
+
+def _by_hand(net, text: bytes) -> float:
+    """The score of one text, word by word: the definition itself, without arrays of words or batches."""
+    import re
+
+    found = re.findall(rb"[0-9a-z\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in text))
+    mask = (1 << 64) - 1
+
+    def row(word: bytes, k: int) -> int:
+        total = sum((b + 1) * pow(0x9E3779B97F4A7C15, i % 64 + 1, 1 << 64) for i, b in enumerate(word) if toxicity.PARTS[k] >= 64 or i < toxicity.PARTS[k])
+        total = (total + k) * 0xD6E8FEB86659FD93 & mask
+        total ^= total >> 32
+        return int(net.number[k][(total * 0xD6E8FEB86659FD93 & mask) >> (64 - toxicity.HASH_BITS)])
+
+    vectors = [sum(net.embedding[row(w, k)].astype(float) for k in range(len(toxicity.PARTS))) for w in found]
+    most = max(toxicity.WIDTHS)
+    vectors += [np.zeros(toxicity.WIDTH)] * most
+    pooled = []
+    for w, kernel in zip(toxicity.WIDTHS, net.filters, strict=True):
+        pooled += list(np.max([sum(vectors[i + j] @ kernel[j] for j in range(w)) for i in range(len(found) + 1)], axis=0))
+    logit = np.maximum(np.array(pooled) + net.bias, 0) @ net.out + net.out_bias[0]
+    spoken = {w: {k for k, v in toxicity.FUNCTION_WORDS.items() if w in v.split()} for w in set("".join(f"{v} " for v in toxicity.FUNCTION_WORDS.values()).split())}
+    hits = dict.fromkeys(toxicity.LANGUAGES, 0)
+    for w in found:
+        own = spoken.get(w.decode("utf-8", "replace"), set())
+        if len(own) == 1:
+            hits[next(iter(own))] += 1
+    language = max(toxicity.LANGUAGES, key=lambda k: hits[k]) if any(hits.values()) else "other"
+    return 1 / (1 + np.exp(-(logit - net.threshold[toxicity.LANGUAGES.index(language)])))
+
+
+def test_toxicity_query_by_hand(spark, data):
+    """The registered query over the driver's table against the definition, text by text."""
+    from cashloom.llm.queries import QUERIES
+
+    table, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    net = toxicity.toxicity_network(table, labels)
+    texts = {r.doc_id: (r.text or "").encode() for r in table.collect()}
+    rows = QUERIES["op5_toxicity"](spark, data).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
+        if len(texts[r.doc_id]) < 6000:
+            assert abs(r.score - _by_hand(net, texts[r.doc_id])) < 1e-4
+
+
+def test_toxicity_does_not_depend_on_neighbours(spark, data):
+    """A text's score is its own, whatever stands next to it in a batch."""
+    table, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    net = toxicity.toxicity_network(table, labels)
+    texts = [(r.text or "").encode() for r in table.limit(60).collect()] + [b"", b"idiot", b""]
+    together = net.judge(texts)[0]
+    assert np.allclose(together, [net.judge([t])[0][0] for t in texts], atol=1e-4)
+    assert np.allclose(together[::-1], net.judge(texts[::-1])[0], atol=1e-4)
+    assert toxicity.score_documents(docs(spark, ODD).limit(0), net).count() == 0
+
+
+def test_quality_query_by_hand(spark, data):
+    """The registered query over the driver's table against chunk-by-chunk sums."""
+    from cashloom.llm.queries import QUERIES
+
+    table, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    net = quality.quality_network(table, labels)
+    rows = {r.doc_id: r for r in QUERIES["op4_quality"](spark, data).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in table.collect()}
+    assert rows.keys() == texts.keys()
+    for k, text in texts.items():
+        r = rows[k]
+        assert r.held_out == (zlib.crc32(str(k).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5)
+        if len(text) < 4000:
+            blocks, first = quality.blocks_of([text])
+            x = net.inputs(blocks, first).astype(float)
+            pooled = np.max([x[i] @ net.near + x[i + 1] @ net.far for i in range(len(x) - 1)], axis=0)
+            assert abs(r.score - 1 / (1 + np.exp(-(np.maximum(pooled + net.bias, 0) @ net.out + net.out_bias[0])))) < 1e-4
