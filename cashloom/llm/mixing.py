@@ -17,8 +17,12 @@ from .common import documents, saved, whole_text
 AXES = ("source", "lang", "topic")
 #: Targets are the shares to this power, where none are given: between as they are (1) and equal (0).
 TEMPER = 0.7
-ROUNDS = 10
-SCALINGS = 8
+#: Raking ends when no axis's value is further off its target than this share, or after so many rounds.
+TOLERANCE = 1e-10
+MOST_ROUNDS = 100
+#: Rounds and scalings that the SQL spells out, as it cannot stop by a test: more than the tables need.
+SQL_ROUNDS = 30
+SQL_SCALINGS = 12
 BUDGET = 0.6
 SEED = 17
 _WHITE = " \n\t\r"
@@ -40,19 +44,42 @@ def topic(text: Column) -> Column:
     )
 
 
-def _facts(docs: DataFrame) -> DataFrame:
+def _facts(docs: DataFrame, topic_of: Column | None = None) -> DataFrame:
+    """``docs`` with source, lang, topic and tokens; ``topic_of`` is a column of the caller's own topics."""
     known = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in ("source", "lang")]
-    return docs.select("*", *known, topic(whole_text()).alias("_topic"), n_tokens(whole_text()).alias("_tokens"))
+    return docs.select("*", *known, (topic(whole_text()) if topic_of is None else F.coalesce(topic_of.cast("string"), F.lit(""))).alias("_topic"), n_tokens(whole_text()).alias("_tokens"))
 
 
-def raked_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def raked_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic_of: Column | None = None) -> DataFrame:
     """_source, _lang, _topic, tokens, raked: each cell's token weight before and after raking.
 
     ``targets`` has weights of some axes' values (the others' stay out: weight 0); an axis without any is
     tempered. Weights of an axis are scaled to sum to the corpus's tokens.
     """
+    return _raked(docs, targets, topic_of).select(*[f"_{a}" for a in AXES], "tokens", "raked")
+
+
+def marginal_gaps(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic_of: Column | None = None) -> DataFrame:
+    """axis, value, target, raked, gap: what raking was to reach, what it has, and how far it is off, relatively.
+
+    Targets that contradict each other leave a gap; so do values that no cell could bring up.
+    """
+    return _gaps(_raked(docs, targets, topic_of))
+
+
+def _gaps(cells: DataFrame) -> DataFrame:
+    out = None
+    for axis in AXES:
+        sums = cells.groupBy(f"_{axis}").agg(F.first(f"_target_{axis}").alias("target"), F.sum("raked").alias("raked"))
+        own = sums.select(F.lit(axis).alias("axis"), F.col(f"_{axis}").alias("value"), "target", "raked")
+        out = own if out is None else out.unionByName(own)
+    return out.withColumn("gap", F.when(F.col("target") > 0, F.abs(F.col("raked") / F.col("target") - 1)).otherwise(F.when(F.col("raked") > 0, 1.0).otherwise(0.0)))
+
+
+def _raked(docs: DataFrame, targets: dict[str, dict[str, float]] | None, topic_of: Column | None) -> DataFrame:
+    """The cells with the targets of their axes, raked."""
     keys = [f"_{a}" for a in AXES]
-    cells = _facts(docs).groupBy(*keys).agg(F.sum("_tokens").cast("double").alias("tokens")).where("tokens > 0")
+    cells = _facts(docs, topic_of).groupBy(*keys).agg(F.sum("_tokens").cast("double").alias("tokens")).where("tokens > 0")
     cells = saved(cells, "cells")
     n = cells.count()
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0.0))).first()[0]
@@ -68,29 +95,37 @@ def raked_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
         scale = total / whole if whole else 0.0
         cells = cells.join(sums.select(f"_{axis}", (F.col("_w") * scale).alias(f"_target_{axis}")), f"_{axis}")
     cells = saved(cells.withColumn("raked", F.col("tokens")), "raked", n)
-    for _ in range(ROUNDS):
+    gap, stuck = float("inf"), 0
+    for _ in range(MOST_ROUNDS):
         for axis in AXES:
             sums = cells.groupBy(f"_{axis}").agg(F.sum("raked").alias("_s"))
             cells = cells.join(sums, f"_{axis}").withColumn(
                 "raked", F.when(F.col("_s") > 0, F.col("raked") * F.col(f"_target_{axis}") / F.col("_s")).otherwise(F.lit(0.0))
             ).drop("_s")
         cells = saved(cells, "raked", n)
-    return cells.select(*keys, "tokens", "raked")
+        before, gap = gap, _gaps(cells).agg(F.max("gap")).first()[0] or 0.0
+        stuck = stuck + 1 if gap >= before else 0
+        if gap <= TOLERANCE or stuck == 3:  # targets that cannot be met together leave the gap as it is
+            break
+    return cells
 
 
-def cell_probabilities(docs: DataFrame, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def cell_probabilities(
+    docs: DataFrame, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None, topic_of: Column | None = None
+) -> DataFrame:
     """The cells' probabilities: _source, _lang, _topic, probability."""
-    cells = raked_cells(docs, targets).withColumn("wish", F.col("raked") / F.col("tokens"))
+    cells = raked_cells(docs, targets, topic_of).withColumn("wish", F.col("raked") / F.col("tokens"))
     scale = 1.0
-    for _ in range(SCALINGS):
+    for _ in range(MOST_ROUNDS):
         full = F.col("wish") * scale >= 1
         total, held, free = cells.agg(
             F.coalesce(F.sum("tokens"), F.lit(0.0)),
             F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0.0)),
             F.coalesce(F.sum(F.when(~full, F.col("raked"))), F.lit(0.0)),
         ).first()
-        scale = (budget * total - held) / free if free > 0 else scale
-        scale = max(scale, 0.0)
+        before, scale = scale, max((budget * total - held) / free if free > 0 else scale, 0.0)
+        if abs(scale - before) <= TOLERANCE * max(scale, before):
+            break
     return cells.select(*[f"_{a}" for a in AXES], F.least(F.lit(1.0), F.col("wish") * scale).alias("probability"))
 
 
@@ -100,15 +135,17 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(code, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mixed(docs: DataFrame, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def mixed(
+    docs: DataFrame, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None, topic_of: Column | None = None
+) -> DataFrame:
     """All rows of ``docs`` (doc_id, text, source, lang and whatever else) with _topic, _tokens,
     _probability and _kept.
 
     A null source or lang counts as empty, a null text as an empty one; rows without tokens weigh nothing
     and are kept. Repeated rows are drawn alike. An empty table gives an empty result.
     """
-    cells = cell_probabilities(docs, budget, targets).withColumnRenamed("probability", "_probability")
-    rows = _facts(docs).join(cells, [f"_{a}" for a in AXES], "left")
+    cells = cell_probabilities(docs, budget, targets, topic_of).withColumnRenamed("probability", "_probability")
+    rows = _facts(docs, topic_of).join(cells, [f"_{a}" for a in AXES], "left")
     rows = rows.withColumn("_probability", F.when(F.col("_tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("_probability", F.lit(0.0))))
     return rows.withColumn("_kept", draw(F.col("doc_id")) < F.col("_probability"))
 
@@ -137,7 +174,7 @@ def _op2_sql() -> str:
             f" FROM (SELECT {a}, sum(tokens) AS s FROM c0 GROUP BY {a}))"
         )
     k = 0
-    for _ in range(ROUNDS):
+    for _ in range(SQL_ROUNDS):
         for a in AXES:
             ctes.append(
                 f"c{k + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens, raked * target / sum(raked) OVER (PARTITION BY c.{a}) AS raked"
@@ -145,7 +182,7 @@ def _op2_sql() -> str:
             )
             k += 1
     ctes.append("s0 AS MATERIALIZED (SELECT 1.0::double AS scale)")
-    for j in range(SCALINGS):
+    for j in range(SQL_SCALINGS):
         ctes.append(
             f"s{j + 1} AS MATERIALIZED (SELECT greatest(0, ({BUDGET} * sum(tokens) - coalesce(sum(tokens) FILTER (WHERE raked / tokens * scale >= 1), 0))"
             f" / sum(raked) FILTER (WHERE raked / tokens * scale < 1)) AS scale FROM c{k}, s{j})"
@@ -154,7 +191,7 @@ def _op2_sql() -> str:
         "WITH " + ",\n".join(ctes) + f"""
 SELECT doc_id, f.topic, CAST(n AS bigint) AS n_tokens, round(p, 6) AS probability,
        CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS varchar), '')), 1, 12) AS bigint) / {float(1 << 48)} < p AS kept
-FROM (SELECT f.*, CASE WHEN n = 0 THEN 1.0 ELSE coalesce(least(1.0, raked / tokens * (SELECT scale FROM s{SCALINGS})), 0.0) END AS p
+FROM (SELECT f.*, CASE WHEN n = 0 THEN 1.0 ELSE coalesce(least(1.0, raked / tokens * (SELECT scale FROM s{SQL_SCALINGS})), 0.0) END AS p
       FROM facts f LEFT JOIN c{k} c ON f.source = c.source AND f.lang = c.lang AND f.topic = c.topic) f"""
     )
 

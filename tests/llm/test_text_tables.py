@@ -63,6 +63,14 @@ def test_mixing(spark):
     total = cells.agg(F.sum("raked")).first()[0]
     share = lambda c, v: cells.where(F.col(c) == v).agg(F.sum("raked")).first()[0] / total
     assert share("_source", "a") == pytest.approx(0.5, abs=1e-3) and share("_lang", "en") == pytest.approx(0.75, abs=1e-3)
+    gaps = mixing.marginal_gaps(df, {"source": {"a": 1.0, "b": 1.0}, "lang": {"en": 3.0, "de": 1.0}}).collect()
+    assert {(r.axis, r.value) for r in gaps} >= {("source", "a"), ("source", "b"), ("lang", "en"), ("lang", "de")} and all(r.gap < 1e-6 for r in gaps)
+    sums = {r["_source"]: r.s for r in cells.groupBy("_source").agg(F.sum("raked").alias("s")).collect()}
+    assert all(r.raked == pytest.approx(sums[r.value]) and r.target == pytest.approx(total / 2) for r in gaps if r.axis == "source")
+    apart = mixing.marginal_gaps(df, {"source": {"a": 1.0}, "topic": {"legal": 1.0}}).agg(F.max("gap")).first()[0]
+    assert apart == 1  # no document is legal: the gap that is left tells
+    own = mixing.mixed(df, 0.5, topic_of=F.when(F.col("doc_id") % 2 == 0, "even")).groupBy("_topic").count().collect()
+    assert {r["_topic"]: r["count"] for r in own} == {"even": 400, "": 400}
     out = mixing.mixed(df, 0.5)
     kept = out.where("_kept").agg(F.sum("_tokens")).first()[0] / out.agg(F.sum("_tokens")).first()[0]
     assert kept == pytest.approx(0.5, abs=0.06)
