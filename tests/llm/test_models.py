@@ -31,6 +31,17 @@ def test_sample_is_bounded_and_leaves_the_fold_out(spark, data):
     assert all(t in free or t not in held for t in texts)
 
 
+def test_sample_is_bounded_by_bytes_and_stands_repeats(spark):
+    texts = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(3, "a"), (3, "a"), (4, None), (None, "n")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(3, 0), (None, 1), (7, None)], "doc_id bigint, toxic int")
+    every = fitting_sample(texts, labels, "toxic", F.lit(True), 1000)
+    assert len(every[0]) == 50 and sorted(map(len, every[0])) == [0, 1] + [100] * 48 and sum(every[1]) == 24
+    some = fitting_sample(texts, labels, "toxic", F.lit(True), 1000, 1_050)
+    assert 10 <= len(some[0]) <= 12 and sum(map(len, some[0])) <= 1_050 and set(zip(*some)) <= set(zip(*every))
+    assert fitting_sample(texts, labels.limit(0), "toxic", F.lit(True), 10) == ([], [])
+    assert fitting_sample(texts.limit(0), labels, "toxic", F.lit(True), 10) == ([], [])
+
+
 def words(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
 
