@@ -23,7 +23,11 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.5; the model is fitted on the labelled rows among them."""
+    """Documents whose quality score is at least 0.5; the model is fitted on the labelled rows among them.
+
+    Each row is judged by its text alone, a null one as empty, so repeated rows go or stay together. Where no
+    row has a label every score is 0.5 and all rows stay. An empty table stays empty.
+    """
     small_batches(spark)
     return keep_quality(docs, quality_network(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
@@ -67,12 +71,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by raked weights of source, language and topic."""
+    """Documents drawn by raked weights of source, language and topic.
+
+    A null source, lang or text counts as empty; rows without tokens stay. Rows that share a doc_id have one
+    draw, held against the probability of each row's own cell. An empty table stays empty.
+    """
     return mixed(docs, budget=MIX_BUDGET).where("_kept").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens and digests of the ids and of what they decode to."""
+    """doc_id, ids, n_tokens and digests of the ids and of what they decode to, one row per row.
+
+    A null or empty text has no ids. Repeated rows are encoded alike; an empty table gives no rows.
+    """
     small_batches(spark)
     return bpe.round_trip(docs, *bpe.vocabulary(VOCABULARY)).select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
