@@ -17,6 +17,7 @@ first, so no link is lost, no bucket has a cap, and members of one component are
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ COLLECTIONS = 16
 HASHES = 3
 #: Pairs of one node that are confirmed in one task.
 NODE_PAIRS = 512
+#: Nodes of one shingle and size, on each side, that are paired in one task.
+BLOCK = 1024
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _lower = bytes(range(256)).lower()
 
@@ -128,7 +131,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows a, b of ``pairs`` with 100 * intersection >= percent * union of their full sets.
 
-    The node that many pairs share, b, has its set sent once for every NODE_PAIRS of them.
+    A node that many pairs share has its set sent once for every NODE_PAIRS of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,18 +148,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(common > 0 and 100 * common >= percent * (both - common))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    total = pairs.count()
-    degrees = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
-    salts = F.ceil(F.col("degree") / NODE_PAIRS).cast("bigint")
-    salted = lookup(pairs, degrees, ["b"], "degree", max(1, total), F.xxhash64("a"))
-    salted = salted.select("a", "b", F.pmod(F.xxhash64("a"), salts).alias("salt"))
-    others = sets.join(degrees, sets["node"] == degrees["b"]).select(
-        F.col("node").alias("b"), F.col("values").alias("other"), F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt")
-    )
-    rows = salted.join(sets.withColumnRenamed("node", "a"), "a").join(others, ["b", "salt"])
+    total = max(1, pairs.count())
+    rows = _with_set(pairs, sets, "a", "b", "values", total)
+    rows = _with_set(rows, sets, "b", "a", "other", total)
     return rows.select("a", "b", "values", "other").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _with_set(pairs: DataFrame, sets: DataFrame, node: str, partner: str, name: str, total: int) -> DataFrame:
+    """``pairs`` with the set of their ``node`` as ``name``; no task receives all pairs of a node that many have."""
+    degrees = pairs.groupBy(node).agg(F.count(F.lit(1)).alias("degree"))
+    salts = F.ceil(F.col("degree") / NODE_PAIRS).cast("bigint")
+    salted = lookup(pairs, degrees, [node], "degree", total, F.xxhash64(partner))
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(partner), salts)).drop("degree")
+    own = sets.join(degrees.withColumnRenamed(node, "_node"), F.col("node") == F.col("_node"))
+    own = own.select(F.col("node").alias(node), F.col("values").alias(name), F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("_salt"))
+    return salted.join(own, [node, "_salt"]).drop("_salt")
+
+
 def _repeated(rows: DataFrame, keys: list[str], *more) -> DataFrame:
     """``rows`` whose keys occur more than once, with the number of times and the aggregates ``more``."""
     table = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), *more).where("size > 1")
@@ -271,8 +279,9 @@ def _rare_shingles(buckets: DataFrame, sets: DataFrame, now: DataFrame, percent:
     # A partner is at least as large as percent of this set, which needs an overlap of as much.
     placed = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
     placed = saved(placed.select("shingle", "node", "n", "place", "component", "weight"), "placed", total)
-    useful = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return saved(placed.join(useful.select("shingle"), "shingle", "left_semi"), "shared", total)
+    useful = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    useful = saved(useful.select("shingle", "size"), "useful", total)
+    return saved(lookup(placed, useful, ["shingle"], "size", max(1, placed.count()), F.xxhash64("node"), matched=True).drop("size"), "shared", total)
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
@@ -286,13 +295,30 @@ def _exploded(sets: DataFrame) -> DataFrame:
 
 
 def _sharing(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs a > b of different components with a shingle among those that one of a similar pair must share."""
-    other = others.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("component").alias("_cb"))
+    """Pairs a > b of different components with a shingle among those that one of a similar pair must share.
+
+    Only sets of about one size meet: sizes are cut into ranges that a similar pair is at most one apart in.
+    Where many nodes have a shingle, both sides are dealt into blocks, and each pair of blocks is its own key.
+    """
+    range_of = F.floor(F.log("n") / (math.log(100 / percent) * 1.000001 + 1e-6)).cast("int")
+    one = rows.select("shingle", "node", "n", "place", "component", range_of.alias("range"))
+    other = others.select(
+        "shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("component").alias("_cb"),
+        F.explode(F.array(range_of - 1, range_of, range_of + 1)).alias("range"),
+    )
+    keys = ["shingle", "range"]
+    table = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("ones")).join(other.groupBy(*keys).agg(F.count(F.lit(1)).alias("others")), keys)
+    table = saved(table, "block-counts")
+    blocks = {c: F.ceil(F.col(c) / BLOCK).cast("bigint") for c in ("ones", "others")}
+    one = lookup(one, table, keys, "ones", max(1, one.count()), F.xxhash64("node"), matched=True)
+    one = one.withColumn("_i", F.pmod(F.xxhash64("node"), blocks["ones"])).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks["others"] - 1)))
+    other = lookup(other, table, keys, "others", max(1, other.count()), F.xxhash64("b"), matched=True)
+    other = other.withColumn("_j", F.pmod(F.xxhash64("b"), blocks["others"])).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks["ones"] - 1)))
     overlap = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
     near = (F.col("place") <= F.col("n") - overlap) & (F.col("q") <= F.col("m") - overlap)
     apart = F.col("component") != F.col("_cb")
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    pairs = rows.join(other, "shingle").where(apart & near & fits)
+    pairs = one.drop("ones", "others").join(other.drop("ones", "others"), [*keys, "_i", "_j"]).where(apart & near & fits)
     return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 

@@ -122,6 +122,40 @@ def test_near(spark, words, percent):
         assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id), r
 
 
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_near_pairs_of_a_hot_shingle(spark, monkeypatch, percent):
+    """One shingle in all nodes, dealt into small blocks: the same pairs as by hand, and no key beyond a block."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    rng = random.Random(percent)
+    rows = [(s, k, n, rng.randrange(n), k % 7) for k in range(60) for n in [2 ** rng.randrange(1, 9) + rng.randrange(3)] for s in (1, 2 + k % 3)]
+    heads = [r for r in rows if r[1] % 4 == 0]
+
+    def overlap(n, m):
+        return -(-(n + m) * percent // (100 + percent))
+
+    for others in (rows, heads):
+        want = {
+            (max(a, b), min(a, b))
+            for s, a, n, p, c in rows
+            for z, b, m, q, d in others
+            if s == z and c != d and min(n, m) * 100 >= max(n, m) * percent and p <= n - overlap(n, m) and q <= m - overlap(n, m)
+        }
+        one, other = (spark.createDataFrame(x, "shingle bigint, node bigint, n bigint, place int, component bigint") for x in (rows, others))
+        got = [tuple(r) for r in near_dedup._sharing(one, other, percent).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_in_small_blocks(spark, monkeypatch):
+    """Nodes with many pairs and shingles with many nodes are dealt over several keys; nothing changes."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "NODE_PAIRS", 2)
+    rng = random.Random(5)
+    passages = [" ".join(f"p{j}x{i}" for i in range(40)) for j in range(9)]
+    texts = near_texts(3) | {2000 + k: " ".join(rng.sample(passages, 5)) for k in range(40)}
+    want = brute_near(texts, 5, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(spark, texts), 5, 80).collect()} == want
+
+
 def test_near_edges(spark):
     assert near_dedup.near_duplicates(docs(spark, ODD).limit(0)).count() == 0
     df = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "A b  c D"), (7, "a b c d"), (8, None)], "doc_id bigint, text string")
