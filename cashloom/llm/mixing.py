@@ -44,10 +44,11 @@ def topic(text: Column) -> Column:
     )
 
 
-def _facts(docs: DataFrame, topic_of: Column | None = None) -> DataFrame:
-    """``docs`` with source, lang, topic and tokens; ``topic_of`` is a column of the caller's own topics."""
+def _facts(docs: DataFrame, topic_of: Column | None = None, *more: Column) -> DataFrame:
+    """_source, _lang, _topic and _tokens of each row, and ``more``; ``topic_of`` is a column of the caller's own topics."""
     known = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in ("source", "lang")]
-    return docs.select("*", *known, (topic(whole_text()) if topic_of is None else F.coalesce(topic_of.cast("string"), F.lit(""))).alias("_topic"), n_tokens(whole_text()).alias("_tokens"))
+    kind = topic(whole_text()) if topic_of is None else F.coalesce(topic_of.cast("string"), F.lit(""))
+    return docs.select(*more, *known, kind.alias("_topic"), n_tokens(whole_text()).alias("_tokens"))
 
 
 def raked_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic_of: Column | None = None) -> DataFrame:
@@ -135,19 +136,34 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(code, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mixed(
+def drawn(
     docs: DataFrame, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None, topic_of: Column | None = None
 ) -> DataFrame:
-    """All rows of ``docs`` (doc_id, text, source, lang and whatever else) with _topic, _tokens,
-    _probability and _kept.
+    """All rows of ``docs`` (doc_id, text, source, lang and whatever else), each whole as the struct _doc, with
+    _topic, _tokens, _probability and _kept. Columns of any name stand in _doc without getting in the way.
 
     A null source or lang counts as empty, a null text as an empty one; rows without tokens weigh nothing
     and are kept. Repeated rows are drawn alike. An empty table gives an empty result.
     """
     cells = cell_probabilities(docs, budget, targets, topic_of).withColumnRenamed("probability", "_probability")
-    rows = _facts(docs, topic_of).join(cells, [f"_{a}" for a in AXES], "left")
+    rows = _facts(docs, topic_of, F.struct("*").alias("_doc"), F.col("doc_id").alias("_id")).join(cells, [f"_{a}" for a in AXES], "left")
     rows = rows.withColumn("_probability", F.when(F.col("_tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("_probability", F.lit(0.0))))
-    return rows.withColumn("_kept", draw(F.col("doc_id")) < F.col("_probability"))
+    return rows.select("_doc", "_topic", "_tokens", "_probability", (draw(F.col("_id")) < F.col("_probability")).alias("_kept"))
+
+
+def mixed(
+    docs: DataFrame, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None, topic_of: Column | None = None
+) -> DataFrame:
+    """The rows of :func:`drawn` with the columns of ``docs`` followed by _topic, _tokens, _probability and
+    _kept. Where ``docs`` has a column of such a name, the new one has further underscores before its own."""
+    taken = {c.lower() for c in docs.columns}
+    own = []
+    for name in ("_topic", "_tokens", "_probability", "_kept"):
+        free = name
+        while free in taken:
+            free = f"_{free}"
+        own.append(F.col(name).alias(free))
+    return drawn(docs, budget, targets, topic_of).select("_doc.*", *own)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

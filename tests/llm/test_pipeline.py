@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import tiktoken
 from pyspark.sql import functions as F
@@ -52,15 +53,23 @@ def test_stages_against_brute_force(spark, data, tmp_path):
 
 
 def test_run_is_the_stages(spark, data):
-    out = corpus_pipeline.run(spark, data)
+    from cashloom.llm.common import saved
+
+    out, docs = corpus_pipeline.run(spark, data), spark.read.parquet(f"{data}/documents.parquet")
     assert out.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert out.where(F.size("ids") != F.col("n_tokens")).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        docs = saved(stage(spark, docs, data), "by-hand")
+    assert sorted(map(tuple, out.select("doc_id", "ids_sha256").collect())) == sorted(map(tuple, docs.select("doc_id", "ids_sha256").collect()))
 
 
 def test_stages_stand_empty_tables_and_repeats(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     twice = docs.limit(40).union(docs.limit(40))
-    assert corpus_pipeline.exact_dedup(spark, twice, data).count() <= 40
+    texts = {}
+    for r in docs.limit(40).collect():
+        texts[r.text] = max(r.doc_id, texts.get(r.text, r.doc_id))
+    assert sorted(r.doc_id for r in corpus_pipeline.exact_dedup(spark, twice, data).collect()) == sorted(texts.values())
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), data).count() == 0
 
@@ -85,6 +94,37 @@ def test_near_dedup_decides_by_row(spark, data):
     assert len(corpus_pipeline.near_dedup(spark, _rows(spark, own), data).collect()) == 2
 
 
+CLASHING = ["_key", "_id", "_s", "_sha", "_kept", "_topic", "_tokens", "_source", "_lang", "_probability", "_doc", "_n", "_key_id", "_kept_sha", "kept", "size"]
+
+
+def test_stages_with_ids_at_both_ends_and_clashing_columns(spark, data):
+    """All stages against brute force: ids at the ends of bigint, without and repeated, and columns of all inner names."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    x, y, z, other = (" ".join(rng.choice(words) for _ in range(80)) for _ in range(4))
+    top, low = 2**63 - 1, -(2**63)
+    pairs = [(top, x), (low, x), (None, x), (None, y), (2**62 + 5, y + " more"), (2**62 + 5, z), (top, z + " more"), (3, other), (3, None), (3, None), (low, "")]
+    table = _rows(spark, pairs).select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+    exact = spark.createDataFrame(corpus_pipeline.exact_dedup(spark, table, data).collect(), table.schema)
+    assert exact.columns == table.columns and all(r[c] == f"own {c}" for r in exact.collect() for c in CLASHING)
+    want = [(top, x), (None, y), (2**62 + 5, y + " more"), (2**62 + 5, z), (top, z + " more"), (3, other), (3, "")]
+    assert sorted(((r.doc_id, r.text or "") for r in exact.collect()), key=str) == sorted(want, key=str)
+    near = corpus_pipeline.near_dedup(spark, exact, data)
+    assert near.columns == table.columns and all(r[c] == f"own {c}" for r in near.collect() for c in CLASHING)
+    # Of y and z the row with the lesser doc_id stays; rows without one come last.
+    want = [(top, x), (2**62 + 5, y + " more"), (2**62 + 5, z), (3, other), (3, "")]
+    assert sorted(((r.doc_id, r.text or "") for r in near.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.near_dedup(spark, table.where("doc_id = 3 AND text IS NOT NULL"), data).count() == 1
+    mixed = corpus_pipeline.mixing(spark, table, data)
+    plain = mixing.mixed(_rows(spark, pairs), corpus_pipeline.MIX_BUDGET).where("_kept")
+    assert mixed.columns == table.columns and all(r[c] == f"own {c}" for r in mixed.collect() for c in CLASHING)
+    assert sorted(map(repr, mixed.select("doc_id", "text").collect())) == sorted(map(repr, plain.select("doc_id", "text").collect()))
+    told = mixing.mixed(table)
+    assert told.columns == [*table.columns, "__topic", "__tokens", "__probability", "__kept"] and told.count() == len(pairs)
+    last = corpus_pipeline.byte_bpe(spark, table, data)
+    assert last.count() == len(pairs)
+
+
 def test_run_rereads_each_stage(spark, data, monkeypatch):
     seen = []
 
