@@ -7,13 +7,12 @@ documents. Every stage works on all that its predecessor kept, and its decisions
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cashloom.llm import bpe
 from cashloom.llm.common import saved, small_batches, whole_text
 from cashloom.llm.exact_dedup import exact_duplicates
-from cashloom.llm.mixing import mixed
+from cashloom.llm.mixing import drawn
 from cashloom.llm.near_dedup import near_duplicates
 from cashloom.llm.quality import keep_quality, quality_network
 
@@ -35,10 +34,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id, or one without where none has any; of rows that repeat
     a doc_id with its text, one. Rows that share a doc_id with different texts are decided each for itself."""
-    kept = exact_duplicates(docs).where("kept OR keep_id IS NULL").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s"))
-    rows = docs.withColumn("_sha", F.sha2(F.encode(whole_text(), "UTF-8"), 256))
-    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s"))
-    return rows.join(kept, own, "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    kept = exact_duplicates(docs).where("kept OR keep_id IS NULL").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    own = F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
+    return _rows(docs).join(kept, own, "left_semi").dropDuplicates(["_id", "_sha"]).select("_doc.*")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each row whole as the struct _doc, whatever its columns' names, with its _id and its text's _sha."""
+    return docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("bigint").alias("_id"), F.sha2(F.encode(whole_text(), "UTF-8"), 256).alias("_sha"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,26 +51,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     small_batches(spark)
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR doc_id IS NULL")
-    if not odd.isEmpty():
-        rows = saved(_keyed(docs), "keyed")
-        kept = near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80).where("kept").select(F.col("doc_id").alias("_key"))
-        return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    if odd.isEmpty():
+        kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("_id"))
+        return _rows(docs).join(kept, "_id", "left_semi").select("_doc.*")
+    rows = saved(_keyed(docs), "keyed")
+    kept = near_duplicates(rows.select(F.col("_key").alias("doc_id"), F.col("_doc.text").alias("text")), words=5, percent=80)
+    return rows.join(kept.where("kept").select(F.col("doc_id").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"]).select("_doc.*")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with _key, a bigint of its own for each doc_id and text, in the order of doc_id, nulls last."""
-    rows = docs.withColumn("_sha", F.sha2(F.encode(whole_text(), "UTF-8"), 256))
-    known = rows.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("_sha").alias("_s")).distinct()
-    named = known.where("_id IS NOT NULL").withColumn("_j", F.row_number().over(W.partitionBy("_id").orderBy("_s")) - 1)
-    named = saved(named, "named")
-    step, top = named.agg(F.coalesce(F.max("_j"), F.lit(0)) + 1, F.coalesce(F.max("_id"), F.lit(0)) + 1).first()
-    nameless = known.where("_id IS NULL").withColumn("_j", F.monotonically_increasing_id())
-    keys = named.select("_id", "_s", (F.col("_id") * F.lit(step) + F.col("_j")).cast("bigint").alias("_key"))
-    keys = saved(keys.unionByName(nameless.select("_id", "_s", (F.lit(top * step) + F.col("_j")).cast("bigint").alias("_key"))), "keys")
-    own = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s"))
-    return rows.join(keys, own).select(*docs.columns, "_key")
+    """The rows with _key, a number of its own for each doc_id and text, in the order of doc_id, nulls last.
+
+    The numbers come from the place in the sorted order, so doc_ids at either end of bigint do no harm.
+    """
+    rows = _rows(docs)
+    known = rows.select(F.col("_id").alias("_key_id"), F.col("_sha").alias("_key_sha")).distinct().orderBy(F.col("_key_id").asc_nulls_last(), "_key_sha")
+    keys = saved(known.withColumn("_key", F.monotonically_increasing_id()), "keys")
+    return rows.join(keys, F.col("_id").eqNullSafe(F.col("_key_id")) & (F.col("_sha") == F.col("_key_sha"))).select("_doc", "_key")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source, lang or text counts as empty; rows without tokens stay. Rows that share a doc_id have one
     draw, held against the probability of each row's own cell. An empty table stays empty.
     """
-    return mixed(docs, budget=MIX_BUDGET).where("_kept").select(*docs.columns)
+    return drawn(docs, budget=MIX_BUDGET).where("_kept").select("_doc.*")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
