@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A group that holds more than this share of all rows is joined by broadcast, the others by shuffle.
@@ -14,6 +15,8 @@ HEAVY_SHARE = 256
 FILE_ROWS = 200_000
 #: Rows that are worth a task of their own.
 TASK_ROWS = 20_000
+#: Rows of an index that are summed in one task.
+SUM_BLOCK = 1 << 16
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Names this process's folder of saved tables.
 RUN = uuid.uuid4().hex
@@ -67,6 +70,21 @@ def drop_saved(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def running_sums(rows: DataFrame, index: str, sums: dict[str, Column], block: int = SUM_BLOCK) -> DataFrame:
+    """``rows`` with columns of sums over the rows of a lower ``index``, a bigint of its own for each row.
+
+    Sums run within blocks of the index, to which the sums of the blocks before are added; only these, a
+    row for each block, are in one task.
+    """
+    rows = rows.select("*", F.floor(F.col(index) / block).alias("_block"), *[v.cast("bigint").alias(f"_v_{k}") for k, v in sums.items()])
+    blocks = rows.groupBy("_block").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in sums])
+    before, inside = (w.rowsBetween(W.unboundedPreceding, -1) for w in (W.orderBy("_block"), W.partitionBy("_block").orderBy(index)))
+    blocks = blocks.select("_block", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    own = rows.select("*", *[F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)).alias(f"_o_{k}") for k in sums]).join(blocks, "_block")
+    kept = [c for c in rows.columns if c != "_block" and not c.startswith("_v_")]
+    return own.select(*kept, *[(F.col(f"_o_{k}") + F.col(f"_b_{k}")).alias(k) for k in sums])
+
+
 def lookup(
     rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, spread: Column, matched: bool = False
 ) -> DataFrame:

@@ -217,18 +217,10 @@ def jn10_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_way(ledger, records(spark, sf_dir, PAYMENTS), CONFIG)[0].select("payment_id", "ledger_id", "tier", F.round("confidence", 6).alias("confidence"))
 
 
-def src11_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generated batch of as many invoices as there are customers."""
-    from ..sources.generator import generate
-
-    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
-    return generate(spark, 42, n)[0].ledger.select("id", F.col("date").cast("string").alias("date"), "amount", "currency", "ifsc")
-
-
 _ALL = {
     "agg6_score": AGG6, "agg7_sweep": AGG7, "agg7_operating_point": AGG7O, "agg8_by_class": AGG8, "agg10_ceiling": AGG10, "agg12_alloc_score": AGG12, "agg13_targets": AGG13,
     "agg14_ablation_stats": AGG14, "agg15_percentile": AGG15, "agg16_median": AGG16, "agg19_costs": AGG19, "win2_rung_gain": WIN2, "pipe_matches": None, "cls1_exceptions": None,
-    "cls4_decisions": None, "jn10_two_way": None, "src11_generated": None,
+    "cls4_decisions": None, "jn10_two_way": None,
 }
 QUERIES = {name: globals()[name] for name in _ALL}
 ORACLES = {name: sql for name, sql in _ALL.items() if sql}
