@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.tables import CLASSES, THRESHOLDS
+from ..operators.shared import saved
 
 Comparator = Callable[[Column, Column], Column]
 PRECISION_TARGET = 0.995
@@ -148,6 +149,46 @@ def ablation_stats(runs: DataFrame) -> DataFrame:
     return out.withColumn("gain_within_noise", (F.col("rung") > 0) & (F.abs("gain_mean") < F.col("recall_sd")))
 
 
+#: Values of a group that are ranked in one array; larger groups are narrowed first.
+RANKED = 100_000
+_BUCKETS = 4_096
+
+
+def percentiles(rows: DataFrame, group: str, value: str, percents: Sequence[float], ranked: int = RANKED) -> DataFrame:
+    """``group`` and p<percent>: the values of nearest rank, rounded down, of each group (nulls apart).
+
+    Groups of at most ``ranked`` values are sorted as arrays. For each rank of a larger one the range that
+    holds it is cut into buckets of equal width, whose counts tell in which it lies; that bucket's least and
+    greatest value are the next range. So no task ever holds such a group, and each pass reads its rows once.
+    """
+    rows = rows.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    sizes = saved(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")), "sizes")
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.least(F.col("n") - 1, F.floor(F.lit(p) / 100 * F.col("n"))).alias("rank")) for p in percents])
+    few_of = sizes.where(F.col("n") <= ranked).select(F.col("_g").alias("_own"))
+    small = rows.join(few_of, F.col("_g").eqNullSafe(F.col("_own")), "left_semi").groupBy("_g").agg(F.collect_list("_v").alias("_a"))
+    found = small.select("_g", *[percentile_floor(F.col("_a"), p).alias(f"p{p}") for p in percents])
+    live = saved(sizes.where(F.col("n") > ranked).select("_g", "n", "low", "high", F.inline(ranks)), "ranks")
+    if live.isEmpty():
+        return found.select(F.col("_g").alias(group), *[F.col(f"`p{p}`") for p in percents])
+    done = live.limit(0).select("_g", "p", F.col("low").alias("v"))
+    while not live.isEmpty():
+        # Each of these groups has more than ``ranked`` rows, so their table is as much smaller than the input.
+        here = rows.withColumnRenamed("_g", "_own").join(F.broadcast(live), F.col("_own").eqNullSafe(F.col("_g")) & F.col("_v").between(F.col("low"), F.col("high"))).drop("_own")
+        share = F.when(F.col("high") > F.col("low"), (F.col("_v") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+        bucket = F.least(F.lit(_BUCKETS - 1), F.floor(share * _BUCKETS))
+        counts = here.groupBy("_g", "p", "rank", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        before = F.coalesce(F.sum("n").over(W.partitionBy("_g", "p").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        now = counts.withColumn("_before", before).where("rank >= _before AND rank < _before + n")
+        now = saved(now.select("_g", "n", "low", "high", "p", (F.col("rank") - F.col("_before")).alias("rank")), "ranks")
+        ready = (F.col("low") == F.col("high")) | (F.col("n") <= ranked)
+        few = rows.withColumnRenamed("_g", "_own").join(F.broadcast(now.where(ready & (F.col("low") < F.col("high")))), F.col("_own").eqNullSafe(F.col("_g")) & F.col("_v").between(F.col("low"), F.col("high")))
+        few = few.groupBy("_g", "p", "rank").agg(F.array_sort(F.collect_list("_v")).alias("_a")).select("_g", "p", F.get("_a", F.col("rank").cast("int")).alias("v"))
+        done = saved(done.unionByName(few).unionByName(now.where("low = high").select("_g", "p", F.col("low").alias("v"))), "found")
+        live = saved(now.where(~ready), "ranks")
+    large = done.groupBy("_g").agg(*[F.max(F.when(F.col("p") == float(p), F.col("v"))).alias(f"p{p}") for p in percents])
+    return found.unionByName(large).select(F.col("_g").alias(group), *[F.col(f"`p{p}`") for p in percents])
+
+
 def percentile_floor(values: Column, p: float) -> Column:
     """Nearest rank, rounded down, of an aggregated array; 0 for none."""
     ranked = F.array_sort(values)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .classify import controller_copy
@@ -19,18 +19,38 @@ def known_ids(run: Reconciliation) -> DataFrame:
     return m.union(e).union(run.decisions.select("subject_id")).where("id IS NOT NULL").distinct()
 
 
-def find_record_id(questions: Sequence[str], ids: DataFrame) -> DataFrame:
-    """q_id, question and the longest id it holds, letter case aside (the least of equally long ones), or null.
+#: Letters of the pieces that ids are indexed by.
+GRAM = 6
+
+
+def _grams(text: Column, n: Column | int) -> Column:
+    last = F.char_length(text) - n + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, n if isinstance(n, Column) else F.lit(n)))))
+
 
-    The questions are a few strings: each is one filter and one aggregate over the ids.
+def find_record_ids(questions: DataFrame, ids: DataFrame) -> DataFrame:
+    """``questions`` (q_id, question and whatever else) with the longest id each holds, letter case aside (the
+    least of equally long ones), or null.
+
+    Ids are indexed by their rarest piece of GRAM letters, shorter ones by all they are. A question that
+    holds an id holds its piece, so pieces are joined and what they bring is held against the question.
+    Null and empty ids are held by none; a null question holds none.
     """
-    spark, out = ids.sparkSession, None
-    for i, question in enumerate(questions):
-        held = ids.where(F.lit(question.lower()).contains(F.lower("id")))
-        best = held.agg(F.min(F.struct((-F.length("id")).alias("n"), "id")).alias("b"))
-        row = best.select(F.lit(i).alias("q_id"), F.lit(question).alias("question"), F.col("b.id").alias("id"))
-        out = row if out is None else out.unionByName(row)
-    return out if out is not None else spark.createDataFrame([], "q_id int, question string, id string")
+    own = ids.where("id <> ''").select("id", F.lower("id").alias("_low")).distinct()
+    own = own.withColumn("_n", F.least(F.char_length("_low"), F.lit(GRAM)))
+    pieces = own.select("id", "_low", "_n", F.explode(_grams(F.col("_low"), F.col("_n"))).alias("_gram"))
+    common = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses"))
+    rarest = pieces.join(common, "_gram").groupBy("id", "_low").agg(F.min(F.struct("_uses", "_gram")).alias("_g")).select("id", "_low", F.col("_g._gram").alias("_gram"))
+    asked = questions.select("q_id", F.lower("question").alias("_q")).where("_q IS NOT NULL")
+    every = F.flatten(F.array(*[F.coalesce(_grams(F.col("_q"), n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)]))
+    held = asked.select("q_id", "_q", F.explode(every).alias("_gram")).join(rarest, "_gram").where(F.col("_q").contains(F.col("_low")))
+    best = held.groupBy("q_id").agg(F.min(F.struct((-F.length("id")).alias("n"), "id")).alias("_b"))
+    return questions.join(best, "q_id", "left").select(*questions.columns, F.col("_b.id").alias("id"))
+
+
+def find_record_id(questions: Sequence[str], ids: DataFrame) -> DataFrame:
+    """The same for a few strings, which q_id numbers from 0."""
+    return find_record_ids(ids.sparkSession.createDataFrame(list(enumerate(questions)), "q_id int, question string"), ids)
 
 
 def context(run: Reconciliation, record_id: str) -> dict:

@@ -64,19 +64,18 @@ SELECT CASE s_suppkey % 3 WHEN 0 THEN 'bank' WHEN 1 THEN 'settlement' ELSE 'ledg
 
 
 def src2_csv_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three sides of an upload that was written as one text, quotes and all."""
+    """The records of many uploads, each the text of up to forty suppliers, quotes and all."""
     rows = run(spark, sf_dir, _ROWS.replace("FROM supplier", "FROM {supplier}"))
     cells = ["source", "id", "date", "amount", "currency", "memo", "fees"]
     line = F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in cells])
-    lines = rows.agg(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("x")))).alias("l"))  # an upload is one text, small by contract
-    whole = lines.select(F.concat(F.lit(",".join(cells) + "\n"), F.array_join(F.transform("l", lambda r: r["x"]), "\n")).alias("value"))
-    b = csv_batch.parse_frame(spark, whole, "uploaded").batch
-    every = b.bank.unionByName(b.settlements).unionByName(b.ledger)
-    return every.select("source", "id", F.col("date").cast("string").alias("date"), "amount", "currency", "memo", "fees")
+    lines = rows.groupBy(F.floor(F.col("s_suppkey") / 40).alias("upload")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("x")))).alias("l"))
+    texts = lines.select("upload", F.concat(F.lit(",".join(cells) + "\n"), F.array_join(F.transform("l", lambda r: r["x"]), "\n")).alias("value"))
+    records, _ = csv_batch.parse_uploads(texts)
+    return records.select("upload", "source", "id", F.col("date").cast("string").alias("date"), "amount", "currency", "memo", "fees")
 
 
 SRC2 = f"""
-SELECT source, id, date, CAST(round(CAST(amount AS decimal(18, 2)) * 100) AS bigint) AS amount, upper(currency) AS currency, nullif(memo, '') AS memo,
+SELECT s_suppkey // 40 AS upload, source, id, date, CAST(round(CAST(amount AS decimal(18, 2)) * 100) AS bigint) AS amount, upper(currency) AS currency, nullif(memo, '') AS memo,
        CAST(round(CAST(nullif(fees, '') AS decimal(18, 2)) * 100) AS bigint) AS fees FROM ({_ROWS}) AS r
 """
 
@@ -262,8 +261,8 @@ r AS (SELECT s.ledger_id, s.payment_id, s.confidence AS c, m.confidence AS w, ro
       FROM s LEFT JOIN m ON m.ledger_id = s.ledger_id WHERE s.payment_id IS DISTINCT FROM m.payment_id)
 SELECT r.ledger_id AS subject_id, CASE WHEN w IS NULL THEN 'exception' ELSE 'matched' END AS outcome, CASE WHEN l.currency <> 'INR' THEN 'fx.convert,' ELSE '' END || 'calendar.isBusinessDay' AS tools, CAST(place AS int) AS place, r.payment_id, floor(c * 1000 + 0.5) / 1000 AS score,
        CASE WHEN w IS NOT NULL THEN 'scored ' || CAST(floor(c * 1000 + 0.5) / 1000 AS varchar) || ' against the winner''s ' || CAST(floor(w * 1000 + 0.5) / 1000 AS varchar)
-            WHEN c < 0.72 THEN 'confidence ' || CAST(floor(c * 1000 + 0.5) / 1000 AS varchar) || ' below accept threshold 0.72'
-            ELSE 'scored ' || CAST(floor(c * 1000 + 0.5) / 1000 AS varchar) || ', above threshold — not used because this invoice was flagged as low confidence' END AS rejected_because
+            WHEN c < 0.72 THEN 'at ' || CAST(floor(c * 1000 + 0.5) / 1000 AS varchar) || ' it is below accept threshold 0.72'
+            ELSE 'good enough at ' || CAST(floor(c * 1000 + 0.5) / 1000 AS varchar) || ', but not used because the invoice is one of low confidence' END AS rejected_because
 FROM r JOIN ({_L}) AS l ON l.id = r.ledger_id WHERE place < 3
 """
 

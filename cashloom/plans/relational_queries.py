@@ -11,7 +11,7 @@ from ..operators import candidates as cand
 from ..operators import classify, forecast, standing_orders, tiers, tieout
 from ..operators.assign import assignment_match
 from ..operators.components import components
-from ..operators.fx import normalise, rate_table
+from ..operators.fx import normalise, normalise_as_of, rate_table
 from ..operators.greedy import greedy_match
 from ..operators.tools import ledger_search
 from .views import BANK, BATCHES, LEDGER, PAYMENTS, SETTLEMENTS, STANDING, TRANSACTIONS, duck, records, run
@@ -212,12 +212,13 @@ def jn5_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _day_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of batches (even orders, odd orders) of one day whose nets are within two percent."""
-    t = run(spark, sf_dir, BATCHES).where("expected_net > 0").select("batch_ord", "batch_id", "date", F.col("expected_net").alias("net"), F.floor(F.col("batch_ord") / 1000).alias("k"))
-    a = t.where("k % 2 = 0").select(F.col("batch_ord").alias("a_ord"), F.col("batch_id").alias("a"), "date", F.col("net").alias("x"))
-    b = t.where("k % 2 = 1").select(F.col("batch_ord").alias("b_ord"), F.col("batch_id").alias("b"), "date", F.col("net").alias("y"))
-    score = 1 - F.abs(F.col("x") - F.col("y")).cast("double") / F.col("x")
-    return a.join(b, "date").withColumn("score", score).where("score >= 0.98").select("a", "a_ord", "b", "b_ord", "score")
+    """Pairs of batches (even orders, odd orders) of one day, both with a positive net, whose nets are within
+    two percent of the first one's: a band join with the day in its key."""
+    t = run(spark, sf_dir, BATCHES).where("expected_net > 0").select(F.col("batch_ord").alias("ord"), F.col("batch_id").alias("id"), "date", F.col("expected_net").alias("amount"), F.floor(F.col("batch_ord") / 1000).alias("k"))
+    a, b = (t.where(F.col("k") % 2 == k).drop("k") for k in (0, 1))
+    pairs = cand.band_join(a, b, 2.0001, lambda d: F.datediff(d, F.lit("1970-01-01").cast("date")), 0)
+    score = 1 - F.abs(F.col("l_amount") - F.col("p_amount")).cast("double") / F.col("l_amount")
+    return pairs.withColumn("score", score).where("score >= 0.98").select(F.col("l_id").alias("a"), F.col("l_ord").alias("a_ord"), F.col("p_id").alias("b"), F.col("p_ord").alias("b_ord"), "score")
 
 
 def jn6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -454,20 +455,38 @@ SELECT CAST(CAST(week AS date) AS varchar) AS week, CAST(total AS bigint) AS tot
 FROM (SELECT date_trunc('week', ts) AS week, sum(CAST(floor(value * 100 + 0.5) AS bigint)) AS total FROM events GROUP BY 1) AS w
 """
 
-QUESTIONS = ("Why is INV-2093 still open?", "what about inv-2093-dup and pay_12", "status of INV-20931", "nothing to see", "INV-2000/INV-20000")
+_QUESTIONS = """
+SELECT c_custkey AS q_id, CASE c_custkey % 4 WHEN 0 THEN 'Why is INV-' || CAST(2000 + c_custkey * 3 AS STRING) || ' still open?' WHEN 1 THEN 'what about inv-' || CAST(2000 + c_custkey AS STRING) || '-dup and pay_12'
+       WHEN 2 THEN 'nothing to see for ' || c_name ELSE 'INV-2000/INV-' || CAST(20000 + c_custkey AS STRING) || c_name END AS question
+FROM {customer}
+"""
 
 
 def str12_find_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest invoice id that each of five questions holds; the questions are a fixed set."""
-    from ..operators.qa import find_record_id
+    """The longest invoice id that each customer's question holds."""
+    from ..operators.qa import find_record_ids
 
-    ids = records(spark, sf_dir, LEDGER).select("id")
-    return find_record_id(QUESTIONS, ids)
+    return find_record_ids(run(spark, sf_dir, _QUESTIONS), records(spark, sf_dir, LEDGER).select("id")).select("q_id", "question", "id")
 
 
 STR12 = f"""
-WITH q(q_id, question) AS (VALUES {", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))})
-SELECT CAST(q_id AS int) AS q_id, question, (SELECT id FROM ({_L}) AS l WHERE contains(lower(question), lower(id)) ORDER BY length(id) DESC, id LIMIT 1) AS id FROM q
+WITH q AS ({duck(_QUESTIONS)}), held AS (SELECT q_id, l.id FROM q JOIN ({_L}) AS l ON contains(lower(question), lower(l.id)))
+SELECT q.q_id, q.question, (SELECT id FROM held WHERE held.q_id = q.q_id ORDER BY length(id) DESC, id LIMIT 1) AS id FROM q
+"""
+
+_RATES = "SELECT event_type AS currency, CAST(ts AS DATE) AS date, 'INR' AS base, max(value) AS rate FROM {events} WHERE user_id % 50 = 7 GROUP BY event_type, CAST(ts AS DATE)"
+_FOREIGN = "SELECT event_id AS ord, 'e_' || CAST(event_id AS STRING) AS id, event_type AS currency, CAST(ts AS DATE) AS date, CAST(floor(value * 100 + 0.5) AS BIGINT) AS amount FROM {events}"
+
+
+def jn15_asof_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' amounts by the rate of their type's latest dated rate; days without a rate keep the one before."""
+    found = normalise_as_of(run(spark, sf_dir, _FOREIGN), "INR", run(spark, sf_dir, _RATES))
+    return found.select("id", "amount", "currency", "fx_unresolved")
+
+
+JN15A = f"""
+SELECT e.id, CASE WHEN r.rate IS NULL THEN e.amount ELSE CAST(floor(e.amount * r.rate + 0.5) AS bigint) END AS amount, CASE WHEN r.rate IS NULL THEN e.currency ELSE 'INR' END AS currency, r.rate IS NULL AS fx_unresolved
+FROM ({duck(_FOREIGN)}) AS e ASOF LEFT JOIN ({duck(_RATES)}) AS r ON e.currency = r.currency AND e.date >= r.date
 """
 
 _ALL = {
@@ -475,7 +494,7 @@ _ALL = {
     "prj11_exception_page": PRJ11, "jn2_standing_orders": JN2, "jn2_no_order": JN2N, "jn16_true_orders": JN16, "jn3_band_join": JN3, "mat2_date_score": MAT2, "mat4_candidates": None,
     "mat5_exact": MAT5, "mat8_splits": MAT8, "jn5_greedy": JN5, "jn6_assignment": None, "jn8_tieout": JN8, "jn9_components": JN9, "jn12_residual": JN12, "jn13_duplicates": JN13,
     "cls2_bank_exceptions": CLS2, "top1_alternatives": TOP1, "win1_cumulative": WIN1, "win3_ambiguity": WIN3, "agg4_tier_breakdown": AGG4, "agg5_reason_counts": AGG5,
-    "agg17_histogram": AGG17, "set1_tier_union": SET1, "fc1_forecast": FC1, "fc2_band": FC2, "str12_find_id": STR12,
+    "agg17_histogram": AGG17, "set1_tier_union": SET1, "fc1_forecast": FC1, "fc2_band": FC2, "str12_find_id": STR12, "jn15_asof_rates": JN15A,
 }
 QUERIES = {name: globals()[name] for name in _ALL}
 ORACLES = {name: sql for name, sql in _ALL.items() if sql}

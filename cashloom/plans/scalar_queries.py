@@ -58,11 +58,30 @@ STR2 = rf"SELECT ord, regexp_replace(upper(lower(id) || '_ x-' || counterparty),
 
 
 def str5_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of parts held against the brand and type: Arrow UDFs over distinct pairs, joined back."""
+    """Names of parts held against their type."""
     p = run(spark, sf_dir, "SELECT p_partkey, p_name, p_type FROM {part}")
-    pairs = p.select("p_name", "p_type").distinct()
-    scored = pairs.select("*", F.round(jaro_winkler("p_name", "p_type"), 6).alias("jaro_winkler"), token_set_ratio("p_name", "p_type").alias("token_set"))
-    return p.join(scored, ["p_name", "p_type"]).select("p_partkey", "jaro_winkler", "token_set")
+    a, b = F.lower("p_name"), F.lower("p_type")
+    return p.select("p_partkey", F.round(jaro_winkler(a, b), 6).alias("jaro_winkler"), token_set_ratio(F.col("p_name"), F.col("p_type")).alias("token_set"))
+
+
+_LOW = "greatest(1, i - reach)"
+_AT = f"instr(substr(acc.l, {_LOW}, greatest(0, least(len(b), i + reach) - {_LOW} + 1)), substr(a, i, 1))"
+_SPOT = f"({_LOW} + {_AT} - 1)"
+# The subsequence table is filled row by row here: a cell is the greatest of what stands above, and to the left.
+STR5 = f"""
+WITH p AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b, greatest(0, greatest(len(p_name), len(p_type)) // 2 - 1) AS reach FROM part),
+m AS (SELECT *, list_reduce(range(1, len(a) + 1), lambda acc, i: CASE WHEN {_AT} = 0 THEN acc ELSE {{'l': substr(acc.l, 1, {_SPOT} - 1) || chr(1) || substr(acc.l, {_SPOT} + 1), 'f': acc.f || substr(a, i, 1)}} END, {{'l': b, 'f': ''}}) AS r FROM p),
+n AS (SELECT *, r.f AS f, array_to_string(list_filter(list_transform(range(1, len(b) + 1), lambda i: CASE WHEN substr(r.l, i, 1) = chr(1) THEN substr(b, i, 1) END), lambda x: x IS NOT NULL), '') AS g FROM m),
+j AS (SELECT *, CASE WHEN a = b THEN 1.0 WHEN len(f) = 0 THEN 0.0 ELSE (len(f) / len(a) + len(f) / len(b) + (len(f) - len(list_filter(range(1, len(f) + 1), lambda i: substr(f, i, 1) <> substr(g, i, 1))) / 2) / len(f)) / 3 END AS jaro,
+             len(list_filter([1, 2, 3, 4], lambda k: k <= len(a) AND k <= len(b) AND left(a, k) = left(b, k))) AS same FROM n),
+t AS (SELECT p_partkey, list_sort(list_distinct(list_filter(str_split_regex(a, '\\s+'), lambda x: x <> ''))) AS ta, list_sort(list_distinct(list_filter(str_split_regex(b, '\\s+'), lambda x: x <> ''))) AS tb FROM p),
+s AS (SELECT p_partkey, array_to_string(list_filter(ta, lambda x: list_contains(tb, x)), ' ') AS c, trim(array_to_string(list_filter(ta, lambda x: list_contains(tb, x)), ' ') || ' ' || array_to_string(list_filter(ta, lambda x: NOT list_contains(tb, x)), ' ')) AS x,
+             trim(array_to_string(list_filter(ta, lambda x: list_contains(tb, x)), ' ') || ' ' || array_to_string(list_filter(tb, lambda x: NOT list_contains(ta, x)), ' ')) AS y FROM t),
+w AS (SELECT *, list_max(list_reduce(range(1, len(x) + 1), lambda acc, i: list_transform(range(0, len(y) + 1), lambda k: list_max(list_transform(range(0, k + 1), lambda h: greatest(acc[h + 1], CASE WHEN h > 0 AND substr(y, h, 1) = substr(x, i, 1) THEN acc[h] + 1 ELSE 0 END)))), list_transform(range(0, len(y) + 1), lambda k: CAST(0 AS bigint)))) AS common FROM s)
+SELECT j.p_partkey, CAST(round(CASE WHEN jaro = 0 THEN 0.0 ELSE jaro + same * 0.1e0 * (1 - jaro) END, 6) AS double) AS jaro_winkler,
+       greatest(CASE WHEN c = '' THEN 0 ELSE floor(200 * len(c) / (len(c) + len(x)) + 0.5) END, CASE WHEN c = '' THEN 0 ELSE floor(200 * len(c) / (len(c) + len(y)) + 0.5) END, floor(200 * common / (len(x) + len(y)) + 0.5)) / 100 AS token_set
+FROM j JOIN w ON w.p_partkey = j.p_partkey
+"""
 
 
 def str7_format_inr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +203,6 @@ QUERIES = {
     "mth1_rounding": mth_rounding, "mth6_branch_lookup": mth6_branch_lookup,
 }
 ORACLES = {
-    "str1_utrs": STR1_UTRS, "str1_residual": STR1_RESIDUAL, "str2_normalize_ref": STR2, "str7_format_inr": STR7, "str8_to_minor": STR8, "str9_reason_words": STR9,
+    "str1_utrs": STR1_UTRS, "str1_residual": STR1_RESIDUAL, "str2_normalize_ref": STR2, "str5_similarity": STR5, "str7_format_inr": STR7, "str8_to_minor": STR8, "str9_reason_words": STR9,
     "prj12_ifsc_valid": PRJ12, "dt2_weekend": DT2, "dt4_add_bd": DT4, "dt6_bd_between": DT6, "dt9_week_bucket": DT9, "mth1_rounding": MTH, "mth6_branch_lookup": MTH6,
 }

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.money import to_minor
@@ -55,14 +54,19 @@ def parse_text(spark: SparkSession, text: str, dataset_id: str = "uploaded") ->
     return parse_frame(spark, spark.createDataFrame([(text,)], "value string"), dataset_id)
 
 
-def errors(rows: DataFrame) -> DataFrame:
-    """``rows`` (line_no and the columns, null where empty) with the first thing wrong in each, or null."""
+def errors(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (line_no and the columns, null where empty) with the first thing wrong in each, or null.
+
+    Rows of several uploads have columns ``by`` that tell these apart. An id's first line comes from an
+    aggregation that is joined back, so rows of one id need not meet, and rows without one do not take part.
+    """
 
     def got(name: str) -> Column:
         return F.concat(F.lit('got "'), F.coalesce(F.col(name), F.lit("")), F.lit('".'))
 
     number = r"^\d+(\.\d{1,2})?$"
-    again = F.row_number().over(W.partitionBy("source", "id").orderBy("line_no")) > 1
+    keys = [*by, "source", "id"]
+    first = rows.where("source IS NOT NULL AND id IS NOT NULL").groupBy(*keys).agg(F.min("line_no").alias("_first"))
     real_date = F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date("date", "yyyy-MM-dd").isNotNull()
     # fixed values that a user may look for: the column in quotes, and "duplicate"
     message = (
@@ -75,8 +79,41 @@ def errors(rows: DataFrame) -> DataFrame:
     )
     for name in ("fees", "tax"):
         message = message.when(~F.coalesce(F.col(name).rlike(number), F.lit(True)), F.concat(F.lit(f'"{name}" is no number from 0 on; '), got(name)))
-    found = rows.withColumn("_again", again).withColumn("error", F.concat(F.lit("row "), F.col("line_no").cast("string"), F.lit(": "), message))
-    return found.drop("_again")
+    found = rows.join(first, keys, "left").withColumn("_again", F.coalesce(F.col("line_no") > F.col("_first"), F.lit(False))).withColumn("error", F.concat(F.lit("row "), F.col("line_no").cast("string"), F.lit(": "), message))
+    return found.select(*rows.columns, "error")
+
+
+def parse_uploads(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Many uploads (upload, value: one text each) in one plan: the canonical records of those that are right,
+    with their upload, and what is first wrong in each other one (upload, error).
+
+    One text is in one task, which its size limit bounds; rows are checked wherever they are.
+    """
+    lines = uploads.select("upload", F.octet_length("value").alias("_size"), F.filter(F.split("value", r"\r\n|\n|\r"), lambda x: F.trim(x) != "").alias("_l"))
+    most = lines.agg(F.max(F.length(F.get("_l", F.lit(0))) - F.length(F.replace(F.get("_l", F.lit(0)), F.lit(",")))) + 1).first()[0] or 1
+    lines = lines.withColumn("_h", split_line(F.get("_l", F.lit(0)), most))
+    lacking = F.array_except(F.array(*[F.lit(c) for c in REQUIRED]), F.coalesce("_h", F.array().cast("array<string>")))
+    whole = F.when(F.col("_size") > UPLOAD_BYTES, F.lit(f"The file is larger than {UPLOAD_BYTES} bytes.")).when(F.size("_l") == 0, F.lit("There is nothing in the file (empty)."))
+    whole = whole.when(F.size(lacking) > 0, F.concat(F.lit("Columns that an upload needs are not there: "), F.array_join(lacking, ", "), F.lit(".")))
+    whole = whole.when(F.size("_l") == 1, F.lit("No data rows follow the header."))
+    lines = lines.withColumn("_error", whole)
+    cells = lines.where("_error IS NULL").select("upload", "_h", F.posexplode("_l").alias("_n", "_line")).where("_n > 0")
+    cells = cells.select("upload", (F.col("_n") + 1).alias("line_no"), "_h", split_line(F.col("_line"), most).alias("_f"))
+
+    def cell(name: str) -> Column:
+        return F.nullif(F.get("_f", F.array_position("_h", name).cast("int") - 1), F.lit(""))
+
+    named = F.filter(F.arrays_zip(F.col("_h").alias("k"), F.col("_f").alias("v")), lambda x: x["k"] != "")
+    rows = cells.select("upload", "line_no", *[cell(c).alias(c) for c in COLUMNS], F.map_from_entries(named).alias("raw"))
+    checked = errors(rows, ("upload",))
+    wrong = checked.where("error IS NOT NULL").groupBy("upload").agg(F.min_by("error", "line_no").alias("error"))
+    problems = lines.where("_error IS NOT NULL").select("upload", F.col("_error").alias("error")).unionByName(wrong)
+    right = rows.join(wrong.select("upload"), "upload", "left_anti")
+    records = right.select(
+        "upload", F.col("line_no").alias("ord"), "id", "source", F.col("date").cast("date").alias("date"), to_minor(F.col("amount")).alias("amount"), F.upper("currency").alias("currency"),
+        "reference", "counterparty", "memo", F.col("parentId").alias("parent_id"), to_minor(F.col("fees")).alias("fees"), to_minor(F.col("tax")).alias("tax"), "ifsc", "raw",
+    )
+    return records, problems
 
 
 def parse_frame(spark: SparkSession, text: DataFrame, dataset_id: str) -> Parsed:

@@ -1,16 +1,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from strings_by_hand import common_value, jaro_value, jaro_winkler_value, token_set_value
+
 from cashloom.functions import calendar as cal
 from cashloom.functions import money, text
 from cashloom.functions.rng import CounterRng
-from cashloom.functions.similarity import jaro_value, jaro_winkler_value, token_set_value
+from cashloom.functions.similarity import common_letters, jaro, jaro_winkler, token_set_ratio
 from cashloom.functions.tables import HOLIDAYS
 
 
@@ -64,18 +65,43 @@ def test_calendar_against_days(spark):
         assert r.b == walk(r.a, r.n), (r.a, r.n)
 
 
-def test_similarity():
-    assert jaro_winkler_value("RAMESH", "RAMSEH") > 0.9
-    assert jaro_value("", "") == 1 and jaro_value("a", "") == 0 and jaro_value("abc", "xyz") == 0
-    assert jaro_value("MARTHA", "MARHTA") == pytest.approx(0.944444, abs=1e-6)
-    assert token_set_value("ACME CORP", "corp acme ltd") == 100 and token_set_value("", "x") == 0
+def _scored(spark, pairs):
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    return df.select("a", "b", jaro(a, b).alias("jaro"), jaro_winkler(a, b).alias("jw"), token_set_ratio(a, b).alias("tokens"), common_letters(a, b).alias("common"))
+
+
+def test_similarity(spark):
+    pairs = [("RAMESH", "RAMSEH"), ("", ""), ("a", ""), ("abc", "xyz"), ("MARTHA", "MARHTA"), ("ACME CORP", "corp acme ltd"), ("", "x"), (None, "x"), ("é🙂ü", "ü🙂é")]
+    got = {(r.a, r.b): r for r in _scored(spark, pairs).collect()}
+    assert got["RAMESH", "RAMSEH"].jw > 0.9 and got["", ""].jaro == 1 and got["a", ""].jaro == 0 and got["abc", "xyz"].jaro == 0
+    assert got["MARTHA", "MARHTA"].jaro == pytest.approx(0.944444, abs=1e-6)
+    assert got["ACME CORP", "corp acme ltd"].tokens == 1 and got["", "x"].tokens == 0 and got[None, "x"].jw is None and got[None, "x"].tokens is None
+
+
+def test_similarities_of_100_000_pairs(spark):
+    """Against their definitions: names, references and noise, of up to a few hundred letters."""
+    rng = random.Random(8)
+
+    def text() -> str:
+        kind = rng.random()
+        if kind < 0.3:
+            return "INV" + "".join(rng.choice("0123") for _ in range(rng.randrange(2, 7)))
+        if kind < 0.999:
+            return "".join(rng.choice("abcA é ") for _ in range(rng.randrange(0, 14)))
+        return " ".join("".join(rng.choice("xyz") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(20, 40)))
+
+    pairs = [(text(), text()) for _ in range(100_000)]
+    pairs += [(a, a[:3] + b) for a, b in pairs[:500]]
+    for r in _scored(spark, pairs).toLocalIterator():
+        assert r.common == common_value(r.a, r.b), (r.a, r.b)
+        assert r.jaro == jaro_value(r.a, r.b) and r.jw == jaro_winkler_value(r.a, r.b), (r.a, r.b)
+        assert r.tokens == token_set_value(r.a, r.b) / 100, (r.a, r.b)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text("abcd", max_size=9), st.text("abcd", max_size=9))
-def test_similarity_bounds(a, b):
-    assert 0 <= jaro_value(a, b) <= jaro_winkler_value(a, b) <= 1
-    assert jaro_value(a, a) == 1
+def test_similarities_run_no_python(spark):
+    plan = _scored(spark, [("a", "b")])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_random_numbers():
