@@ -103,3 +103,25 @@ def test_credits_of_one_amount_tie_by_their_days(spark):
         want[f"b{i}"] = f"s{free[0]}" if free else None
         taken |= {free[0]} if free else set()
     assert got == want
+
+
+def test_best_candidates_are_the_first_of_all(spark):
+    from cashloom.operators.candidates import best_candidates, candidates
+
+    rng = random.Random(13)
+    day = dt.date(2026, 3, 2)
+    people = ["ACME CORP", "NIMBUS LTD", "ORION", ""]
+
+    def side(name: str, n: int, memo: str):
+        rows = [(i, f"{name}{i}", day + dt.timedelta(rng.randrange(0, 60)), 100_000 + rng.randrange(-700, 700), rng.choice(people), memo.format(rng.randrange(2000, 2060))) for i in range(n)]
+        return canonical(spark.createDataFrame(rows, "ord int, id string, date date, amount bigint, counterparty string, memo string").withColumn("currency", F.lit("INR")))
+
+    ledger, payments, cfg = side("l", 60, "PAYMENT INV-{}"), side("p", 90, "NEFT INV{} x"), MatchConfig()
+    want = {}
+    for r in candidates(ledger, payments, cfg).collect():
+        want.setdefault(r.ledger_id, []).append((-r.confidence, r.p_ord))
+    for k in (1, 5):
+        got = {}
+        for r in best_candidates(ledger, payments, cfg, k).collect():
+            got.setdefault(r.ledger_id, []).append((-r.confidence, r.p_ord))
+        assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x)[:k] for i, x in want.items()}
