@@ -40,7 +40,7 @@ PARTS = (64, 3, 5)
 #: Labelled rows that a model is fitted on, at most.
 FIT_ROWS = 12_000
 STEP_BYTES = 1 << 19
-# fixed values: common function words of each language
+# Common function words of each language.
 FUNCTION_WORDS = {
     "en": "the and of to in is was that for with this are be as at on by",
     "de": "der die das und ein eine nicht ist von den zu im mit für auf",
