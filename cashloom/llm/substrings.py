@@ -117,9 +117,15 @@ def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, first))
 
 
-def repeat_groups(contexts: list[tuple[bytes, int]], gram: int = GRAM) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Groups of maximal repeats among contexts (bytes, place of the anchor in them): the bytes from the
-    anchor on that all members share, and each member with the bytes before it that another one shares."""
+def repeat_groups(contexts: list[tuple[bytes, int]], gram: int = GRAM, length: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
+    """The maximal repeats of at least ``length`` bytes through the anchor of ``contexts`` (different bytes,
+    place of the anchor in them): the bytes before the anchor and from it on, and all members that have them.
+
+    Members of an interval share all that follows down to its depth. Sorted by what precedes, they have an
+    interval tree of their own, whose depths are left extensions at which members differ. Where these
+    come from one child of the interval, the child gives the same with more bytes to the right: only
+    left intervals that hold members of two children are maximal on both sides.
+    """
     right = [c[left:] for c, left in contexts]
     before = [c[:left][::-1] for c, left in contexts]
     order = sorted(range(len(contexts)), key=right.__getitem__)
@@ -127,9 +133,17 @@ def repeat_groups(contexts: list[tuple[bytes, int]], gram: int = GRAM) -> Iterat
     for depth, first, last in intervals(prefixes):
         if depth < gram:
             continue
+        child, children = 0, {order[first]: 0}
+        for i in range(first, last):
+            child += prefixes[i] == depth
+            children[order[i + 1]] = child
         members = sorted(order[first : last + 1], key=before.__getitem__)
-        reach = [common_prefix(before[a], before[b]) for a, b in zip(members, members[1:], strict=False)]
-        yield depth, [(m, max(x, y)) for m, x, y in zip(members, [0, *reach], [*reach, 0], strict=True)]
+        shared = [common_prefix(before[a], before[b]) for a, b in zip(members, members[1:], strict=False)]
+        # How many neighbours up to each member come from different children.
+        changes = np.cumsum([0, *(children[a] != children[b] for a, b in zip(members, members[1:], strict=False))])
+        for left, low, high in intervals(shared):
+            if left + depth >= length and changes[low] != changes[high]:
+                yield left, depth, members[low : high + 1]
 
 
 def reaches(contexts: list[tuple[bytes, int]], repeated: list[bool], length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int] | None]:
@@ -138,16 +152,41 @@ def reaches(contexts: list[tuple[bytes, int]], repeated: list[bool], length: int
 
     All of these strings hold the anchor's gram, so what they cover is one run of bytes.
     """
-    best: list[tuple[int, int] | None] = [
-        (left, len(c) - left) if twice and len(c) >= length else None for (c, left), twice in zip(contexts, repeated, strict=True)
-    ]
+    low, high = np.full(len(contexts), -1), np.zeros(len(contexts), np.int64)
+    for m, ((c, left), twice) in enumerate(zip(contexts, repeated, strict=True)):
+        if twice and len(c) >= length:
+            low[m], high[m] = left, len(c) - left
     if len(contexts) > 1:
-        for depth, members in repeat_groups(contexts, gram):
-            for m, left in members:
-                if left + depth >= length:
-                    low, high = best[m] or (0, 0)
-                    best[m] = (max(low, left), max(high, depth))
-    return best
+        for left, depth, members in repeat_groups(contexts, gram, length):
+            low[members] = np.maximum(low[members], left)
+            high[members] = np.maximum(high[members], depth)
+    return [(a, b) if a >= 0 else None for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+
+
+def named_repeats(
+    contexts: list[tuple[bytes, int]], repeated: list[bool], length: int = LENGTH, gram: int = GRAM, around: int | None = None
+) -> list[list[tuple[bytes, int, int, bool]]]:
+    """For each context its repeats: the string's digest, its bytes, how many come before the anchor, and
+    whether it is known to end there. ``around`` is what contexts hold beyond a window, None if they were cut.
+
+    Only strings count in which the gram is an anchor by their own bytes: all occurrences of such a string
+    have that anchor, so the group misses none. Each repeat has at least one.
+    """
+    out: list[list[tuple[bytes, int, int, bool]]] = [[] for _ in contexts]
+    alone = [(left, len(c) - left, [m]) for m, ((c, left), twice) in enumerate(zip(contexts, repeated, strict=True)) if twice and len(c) >= length]
+    for left, depth, members in [*alone, *(repeat_groups(contexts, gram, length) if len(contexts) > 1 else ())]:
+        c, at = contexts[members[0]]
+        string = c[at - left : at + depth]
+        if left not in anchors(string, length, gram)[0]:
+            continue
+        most_left, most_right = max(contexts[m][1] for m in members), max(len(contexts[m][0]) - contexts[m][1] for m in members)
+        whole = (left < most_left or (around is not None and left < length - gram + around)) and (
+            depth < most_right or (around is not None and depth < length + around)
+        )
+        name = hashlib.blake2b(string, digest_size=16).digest()
+        for m in members:
+            out[m].append((name, left + depth, left, whole))
+    return out
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -190,7 +229,7 @@ def _gram_lists(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return _rows(docs).mapInArrow(run, schema)
 
 
-def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def _contexts(texts: DataFrame, length: int, gram: int, around: int = 0) -> DataFrame:
     """For each text (ka, kb, data, wanted grams) and different context: g, ca, cb (128 bits that stand for
     it), the place of the anchor in it, the context and the anchor's places in the text."""
 
@@ -203,8 +242,8 @@ def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 chosen = np.isin(value, np.array(wanted, np.int64))
                 found: dict[tuple, list[int]] = {}
                 for p, g in zip(place[chosen].tolist(), value[chosen].tolist(), strict=True):
-                    left = min(p, length - gram)
-                    found.setdefault((g, left, data[p - left : p + length]), []).append(p)
+                    left = min(p, length - gram + around)
+                    found.setdefault((g, left, data[p - left : p + length + around]), []).append(p)
                 for (g, left, context), places in found.items():
                     code = np.frombuffer(hashlib.blake2b(context + left.to_bytes(4, "big"), digest_size=16).digest(), np.int64)
                     out.append((g, int(code[0]), int(code[1]), left, context, ka, kb, places))
@@ -218,11 +257,21 @@ def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
     )
 
 
-def _scanned(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """g, ca, cb, before, after for contexts with a reach; a gram's contexts meet in one task."""
+#: What a scan tells of a context: how far repeats reach, or which ones there are.
+REACH = "before int, after int"
+NAMED = "repeats array<struct<name: binary, n_bytes: int, before: int, whole: boolean>>"
+
+
+def _scanned(contexts: DataFrame, length: int, gram: int, names: bool = False, around: int | None = None) -> DataFrame:
+    """g, ca, cb and REACH (with ``names`` NAMED) for contexts with a repeat; a gram's contexts meet in one task."""
 
     def finish(g: int, rows: list[tuple]) -> list[tuple]:
-        got = reaches([(c, a) for _, _, a, c, _ in rows], [r[4] for r in rows], length, gram)
+        own, twice = [(c, a) for _, _, a, c, _ in rows], [r[4] for r in rows]
+        if names:
+            fields = ("name", "n_bytes", "before", "whole")
+            got = [[[dict(zip(fields, r, strict=True)) for r in x]] if x else None for x in named_repeats(own, twice, length, gram, around)]
+        else:
+            got = reaches(own, twice, length, gram)
         return [(g, r[0], r[1], *x) for r, x in zip(rows, got, strict=True) if x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,9 +292,12 @@ def _scanned(contexts: DataFrame, length: int, gram: int) -> DataFrame:
         return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
 
     columns = ["g", "ca", "cb", "anchor", "context", "twice"]
-    schema = pa.schema([(n, pa.int64()) for n in ("g", "ca", "cb")] + [(n, pa.int32()) for n in ("before", "after")])
+    told = [(n, pa.int32()) for n in ("before", "after")]
+    if names:
+        told = [("repeats", pa.list_(pa.struct([("name", pa.binary()), ("n_bytes", pa.int32()), ("before", pa.int32()), ("whole", pa.bool_())])))]
+    schema = pa.schema([(n, pa.int64()) for n in ("g", "ca", "cb")] + told)
     dealt = contexts.select(*columns).repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(run, "g bigint, ca bigint, cb bigint, before int, after int")
+    return dealt.mapInArrow(run, f"g bigint, ca bigint, cb bigint, {NAMED if names else REACH}")
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -261,13 +313,14 @@ def _crowded(contexts: DataFrame, group: int) -> DataFrame:
     return saved(contexts.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group), "crowded", 1 + contexts.count() // group)
 
 
-def _all_reaches(contexts: DataFrame, length: int, gram: int, group: int) -> DataFrame:
-    """Reaches of all contexts; grams with more than ``group`` of them are split by places of windows."""
+def _all_scanned(contexts: DataFrame, length: int, gram: int, group: int, names: bool = False, around: int = 0) -> DataFrame:
+    """What a scan tells of all contexts; grams with more than ``group`` of them are split by places of windows."""
+    told = ["repeats"] if names else ["before", "after"]
     crowded = _crowded(contexts, group)
     if crowded.isEmpty():
-        return _scanned(contexts, length, gram)
+        return _scanned(contexts, length, gram, names, around)
     flagged = saved(lookup(contexts, crowded, ["g"], "m", max(1, contexts.count()), F.xxhash64("ca")), "flagged")
-    out = _scanned(flagged.where("m IS NULL"), length, gram)
+    out = _scanned(flagged.where("m IS NULL"), length, gram, names, around)
     left = length - gram
     # Each row is an original context (g, ca, cb) in the group of one range of window places [low, high].
     members = flagged.where("m IS NOT NULL").select(
@@ -296,24 +349,29 @@ def _all_reaches(contexts: DataFrame, length: int, gram: int, group: int) -> Dat
         )
         again = _crowded(smaller, group)
         marked = saved(lookup(smaller, again, ["g"], "m", max(1, smaller.count()), F.xxhash64("ca")), "marked")
-        done = saved(_scanned(marked.where("m IS NULL"), length, gram), "done")
+        done = saved(_scanned(marked.where("m IS NULL"), length, gram, names), "done")
         uses = smaller.select("g", "ca", "cb", "uses").join(done, ["g", "ca", "cb"])
-        uses = uses.select(F.col("g").alias("sub"), F.col("ca").alias("sa"), F.col("cb").alias("sb"), "uses", "before", "after")
+        uses = uses.select(F.col("g").alias("sub"), F.col("ca").alias("sa"), F.col("cb").alias("sb"), "uses", *told)
         back = lookup(rows.select("g", "ca", "cb", "sub", "sa", "sb"), uses, ["sub", "sa", "sb"], "uses", max(1, rows.count()), F.xxhash64("ca"), matched=True)
-        out = out.union(back.select("g", "ca", "cb", "before", "after"))
+        out = out.union(back.select("g", "ca", "cb", *told))
         if again.isEmpty():
-            return out.groupBy("g", "ca", "cb").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+            merged = [F.array_distinct(F.flatten(F.collect_set("repeats"))).alias("repeats")] if names else [F.max(c).alias(c) for c in told]
+            return out.groupBy("g", "ca", "cb").agg(*merged)
         hot = again.select(F.col("g").alias("sub"), "m")
         members = lookup(rows.drop("cut", "cut_anchor", "sa", "sb"), hot, ["sub"], "m", max(1, rows.count()), F.xxhash64("ca"), matched=True)
         members = members.drop("sub", "m")
 
 
+#: Runs of bytes, the end not included.
+SPANS = "array<struct<start: bigint, end: bigint>>"
+
+
 def _removed(texts: DataFrame) -> DataFrame:
-    """ka, kb, n_removed, n_spans, kept_sha of texts (ka, kb, data, spans)."""
+    """ka, kb, runs (the maximal ones), kept_sha of texts (ka, kb, data, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            removed, spans, kept = [], [], []
+            joined, kept = [], []
             for data, own in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 runs: list[list[int]] = []
                 for a, b in sorted((x["a"], x["b"]) for x in own):
@@ -326,26 +384,18 @@ def _removed(texts: DataFrame) -> DataFrame:
                     rest.update(data[at:a])
                     at = b
                 rest.update(data[at:])
-                removed.append(sum(b - a for a, b in runs))
-                spans.append(len(runs))
+                joined.append([{"start": a, "end": b} for a, b in runs])
                 kept.append(rest.hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("ka"), batch.column("kb"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())],
-                ["ka", "kb", "n_removed", "n_spans", "kept_sha"],
+                [batch.column("ka"), batch.column("kb"), pa.array(joined, span), pa.array(kept, pa.string())], ["ka", "kb", "runs", "kept_sha"]
             )
 
-    return texts.mapInArrow(run, "ka bigint, kb bigint, n_removed bigint, n_spans bigint, kept_sha string")
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return texts.mapInArrow(run, f"ka bigint, kb bigint, runs {SPANS}, kept_sha string")
 
 
-def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """Remove from ``docs`` (doc_id, text; other columns are ignored) what repeats, as bytes of UTF-8.
-
-    Each byte that is covered by a string of ``length`` bytes which also starts anywhere else, in the same
-    text or another row's, is removed; strings do not cross rows and are judged on the input. Returns one
-    row per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that
-    stay). A null text counts as empty; repeated rows are copies of each other, also with one doc_id or
-    none. An empty table gives an empty result.
-    """
+def _indexed(docs: DataFrame, length: int, gram: int, around: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """Every row, the different texts, those with repeated grams, the contexts of these, and the number of rows."""
     every = saved(_gram_lists(docs, length, gram), "gram-lists")
     total = max(1, every.count())
     texts = saved(
@@ -361,12 +411,30 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     own = texts.join(wanted, "ka").withColumn("_head", F.concat(_hex_key("ka"), _hex_key("kb")))
     held = rows.join(own, (rows["_one"] == own["one"]) & (F.substring("_sha", 1, 32) == F.col("_head"))).select("ka", "kb", "data", "wanted")
     held = saved(held, "held-texts")
-    found = saved(_contexts(held, length, gram), "contexts")
+    return every, texts, held, saved(_contexts(held, length, gram, around), "contexts"), total
+
+
+def _owned(found: DataFrame) -> DataFrame:
+    """The different contexts, each told whether it occurs twice."""
     owner = found.withColumn("least", F.struct("ka", "kb", F.array_min("places").alias("p"))).withColumn(
         "most", F.struct("ka", "kb", F.array_max("places").alias("p"))
     )
-    contexts = saved(_merged(owner), "merged")
-    reach = _all_reaches(contexts, length, gram, group)
+    return saved(_merged(owner), "merged")
+
+
+def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """What repeats in ``docs`` (doc_id, text; other columns are ignored), as bytes of UTF-8.
+
+    Each byte that is covered by a string of ``length`` bytes which also starts anywhere else, in the same
+    text or another row's, is to go; strings do not cross rows and are judged on the input. Returns one
+    row per row: doc_id, n_bytes, text_sha256, spans (the maximal runs to go, from start up to end) and
+    kept_sha256 (of the bytes that stay; :func:`without_repeats` gives these). A null text counts as
+    empty; repeated rows are copies of each other, also with one doc_id or none. An empty table gives
+    an empty result.
+    """
+    every, texts, held, found, total = _indexed(docs, length, gram)
+    contexts = _owned(found)
+    reach = _all_scanned(contexts, length, gram, group)
     reach = saved(contexts.select("g", "ca", "cb", "uses").join(reach, ["g", "ca", "cb"]), "reaches", contexts.count())
     spans = lookup(found.select("g", "ca", "cb", "ka", "kb", "places"), reach, ["g", "ca", "cb"], "uses", max(1, found.count()), F.xxhash64("ka", "ca"), matched=True)
     spans = spans.select("ka", "kb", "before", "after", F.explode("places").alias("p"))
@@ -375,14 +443,57 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     known = saved(texts.select("ka", "kb", "copies").join(cut, ["ka", "kb"], "left").where("copies > 1 OR kept_sha IS NOT NULL"), "known", total)
     out = lookup(every.select("doc_id", "ka", "kb", "sha", "n_bytes"), known, ["ka", "kb"], "copies", total, F.xxhash64("doc_id", "ka"))
     whole = (F.coalesce("copies", F.lit(1)) > 1) & (F.col("n_bytes") >= length)
+    all_of_it = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end")))
     return out.select(
-        "doc_id", "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
+        "doc_id", "n_bytes", F.col("sha").alias("text_sha256"),
+        F.when(whole, all_of_it).otherwise(F.coalesce("runs", F.array().cast(SPANS))).cast(SPANS).alias("spans"),
         F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
     )
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """doc_id, spans and kept (the bytes that stay: a cut may fall inside a character) for each row of ``docs``.
+
+    Texts are cut in rows of their own; a text that many rows have brings its spans to each of them.
+    Nulls, repeats and empty tables are as in :func:`repeated_substrings`.
+    """
+    found = repeated_substrings(docs, length, gram, group).where(F.size("spans") > 0)
+    table = found.groupBy(F.xxhash64("text_sha256").alias("_k"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_n"), F.first("spans").alias("spans"))
+    rows = _rows(docs).withColumn("_sha", F.sha2("data", 256)).withColumn("_k", F.xxhash64("_sha"))
+    rows = lookup(rows, saved(table, "spans-of-texts"), ["_k", "_sha"], "_n", max(1, rows.count()), F.xxhash64("doc_id", "_sha"))
+    # What stays is what lies between the spans: from each one's end to the next one's start.
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.col("spans.end"))
+    starts = F.concat(F.col("spans.start"), F.array(F.octet_length("data").cast("bigint")))
+    between = F.zip_with(ends, starts, lambda a, b: F.substring(F.col("data"), (a + 1).cast("int"), (b - a).cast("int")))
+    kept = F.when(F.col("spans").isNull(), F.col("data")).otherwise(F.aggregate(between, F.lit(b""), lambda acc, x: F.concat(acc, x)))
+    return rows.select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), kept.alias("kept"))
+
+
+def maximal_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, around: int = 1024) -> DataFrame:
+    """All maximal repeats of at least ``length`` bytes among the different texts of ``docs`` (doc_id, text),
+    a row for each occurrence: repeat (32 digits that stand for the string), n_bytes, whole, doc_id, copies,
+    start.
+
+    A repeat is maximal if its occurrences do not all have the same byte before or after them. Equal texts
+    are one text, under its least doc_id (null where no row has one) with the number of its rows as
+    ``copies``. A string is seen as far as ``around`` bytes beyond a window around an anchor: repeats up to
+    length + around bytes come whole, longer ones in overlapping pieces, whose ``whole`` is false, as it
+    may be for grams with more than ``group`` different contexts, which are cut. Every row has its string
+    there, and every string all its occurrences. A null text counts as empty; an empty table gives an
+    empty result.
+    """
+    _, texts, _, found, _ = _indexed(docs, length, gram, around)
+    contexts = _owned(found)
+    named = _all_scanned(contexts, length, gram, group, True, around)
+    named = saved(contexts.select("g", "ca", "cb", "uses").join(named, ["g", "ca", "cb"]), "named", contexts.count())
+    rows = lookup(found.select("g", "ca", "cb", "ka", "kb", "places"), named, ["g", "ca", "cb"], "uses", max(1, found.count()), F.xxhash64("ka", "ca"), matched=True)
+    rows = rows.select("ka", "kb", F.inline("repeats"), "places").withColumn("p", F.explode("places"))
+    rows = rows.groupBy(F.lower(F.hex("name")).alias("repeat"), "n_bytes", "ka", "kb", (F.col("p") - F.col("before")).cast("bigint").alias("start"))
+    rows = rows.agg(F.max("whole").alias("whole")).join(texts, ["ka", "kb"])
+    doc_id = F.when(F.col("one") != -(1 << 63), F.col("one")).alias("doc_id")
+    return rows.select("repeat", F.col("n_bytes").cast("bigint").alias("n_bytes"), "whole", doc_id, "copies", "start")
+
+
 def _hex_key(column: str):
     """The 16 hexadecimal digits of the 8 bytes, in little-endian order, that ``column`` was read from."""
     h = F.lpad(F.hex(F.col(column)), 16, "0")
@@ -390,4 +501,8 @@ def _hex_key(column: str):
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_substrings(documents(spark, sf_dir))
+    """The digests of what :func:`repeated_substrings` finds in documents."""
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
+    return repeated_substrings(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256"
+    )

@@ -213,30 +213,89 @@ def passages(seed=5):
 def test_repeats(spark, length, gram, group):
     texts = passages() | {1000 + k: v for k, v in ODD.items()}
     want = brute_removed(texts, length)
-    for r in substrings.repeated_substrings(docs(spark, texts), length, gram, group).collect():
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+    df = docs(spark, texts)
+    kept = {r.doc_id: bytes(r.kept) for r in substrings.without_repeats(df, length, gram, group).collect()}
+    rows = substrings.repeated_substrings(df, length, gram, group).collect()
+    assert len(rows) == len(kept) == len(texts)
+    for r in rows:
+        data, sha = (texts[r.doc_id] or "").encode(), hashlib.sha256(kept[r.doc_id]).hexdigest()
+        assert (r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), sha) == want[r.doc_id], r.doc_id
+        assert (r.kept_sha256, r.text_sha256) == (sha, hashlib.sha256(data).hexdigest())
+        gone = {i for x in r.spans for i in range(x.start, x.end)}
+        assert bytes(c for i, c in enumerate(data) if i not in gone) == kept[r.doc_id]
+
+
+def brute_maximal(texts, length):
+    """Each maximal repeat of the different texts with all places (text, start) where it stands."""
+    data = sorted({(t or "").encode() for t in texts})
+    at = collections.defaultdict(list)
+    for k, d in enumerate(data):
+        for i in range(len(d) - length + 1):
+            at[d[i : i + length]].append((k, i))
+    strings = set()
+    for places in at.values():
+        for n, (k, i) in enumerate(places):
+            for m, j in places[:n]:
+                a, b = data[k], data[m]
+                if i and j and a[i - 1] == b[j - 1]:
+                    continue
+                strings.add(a[i : i + substrings.common_prefix(a[i:], b[j:])])
+    out = {}
+    for x in strings:
+        out[x] = {(data[k], i) for k, i in at[x[:length]] if data[k][i : i + len(x)] == x}
+    return out
+
+
+@pytest.mark.parametrize(("length", "gram", "group", "around"), [(40, 12, 4096, 300), (24, 8, 4096, 300), (40, 12, 4096, 8), (40, 12, 5, 300)])
+def test_maximal_repeats(spark, length, gram, group, around):
+    """All maximal repeats with all of their occurrences; what is longer than the contexts comes in pieces."""
+    texts = passages() | {1000 + k: v for k, v in ODD.items() if k not in (7, 8, 9)}
+    want = brute_maximal(texts.values(), length)
+    got, whole, copies = collections.defaultdict(set), set(), collections.Counter(t or "" for t in texts.values())
+    names = {}
+    for r in substrings.maximal_repeats(docs(spark, texts), length, gram, group, around).collect():
+        text = texts[r.doc_id] or ""
+        assert r.copies == copies[text] and r.doc_id == min(k for k, t in texts.items() if (t or "") == text)
+        x = text.encode()[r.start : r.start + r.n_bytes]
+        assert len(x) == r.n_bytes >= length and names.setdefault(r.repeat, x) == x
+        place = (text.encode(), r.start)
+        assert place not in got[x]
+        got[x].add(place)
+        if r.whole:
+            whole.add(x)
+    assert whole <= set(want) and len(set(names.values())) == len(names)
+    for x, places in got.items():
+        assert places == {(d, i) for d in {t.encode() for t in copies} for i in range(len(d)) if d.startswith(x, i)}
+    if group == 4096:
+        assert {x for x in want if len(x) <= length + around} == {x for x in whole if len(x) <= length + around}
+    covered = lambda found: {(d, i + k) for x, places in found.items() for d, i in places for k in range(len(x))}
+    assert covered(got) == covered(want)
 
 
 def test_repeats_edges(spark):
-    assert substrings.repeated_substrings(docs(spark, ODD).limit(0)).count() == 0
+    for operator in (substrings.repeated_substrings, substrings.without_repeats, substrings.maximal_repeats):
+        assert operator(docs(spark, ODD).limit(0)).count() == 0
     df = spark.createDataFrame([(1, "x" * 50), (1, "x" * 50), (None, "y" * 30 + "z"), (None, "q")], "doc_id bigint, text string")
-    got = [(r.doc_id, r.n_removed) for r in substrings.repeated_substrings(df, 40, 12).collect()]
+    got = [(r.doc_id, sum(x.end - x.start for x in r.spans)) for r in substrings.repeated_substrings(df, 40, 12).collect()]
     assert sorted(got, key=str) == sorted([(1, 50), (1, 50), (None, 0), (None, 0)], key=str)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.text("ab", max_size=8), st.text("ab", max_size=8)), min_size=2, max_size=8))
 def test_interval_tree_gives_all_occurrences(pairs):
-    """Every group is one of all contexts that share what follows the anchor, and reaches are maximal."""
-    contexts = [((a + "X" + b).encode(), len(a)) for a, b in pairs]
-    for depth, members in substrings.repeat_groups(contexts, 1):
-        heads = {contexts[m][0][contexts[m][1] :][:depth] for m, _ in members}
-        assert len(heads) == 1
-        head = heads.pop()
-        assert {m for m, _ in members} == {i for i, (c, left) in enumerate(contexts) if c[left:].startswith(head)}
-        for m, left in members:
-            before = lambda i: contexts[i][0][: contexts[i][1]][::-1]
-            assert left == max(substrings.common_prefix(before(m), before(o)) for o, _ in members if o != m)
+    """The groups are the strings around X that differ on both sides, each with all contexts that hold it."""
+    contexts = sorted({((a + "X" + b).encode(), len(a)) for a, b in pairs})
+    want = {}
+    for i, (c, p) in enumerate(contexts):
+        for d, q in contexts[:i]:
+            left, right = substrings.common_prefix(c[:p][::-1], d[:q][::-1]), substrings.common_prefix(c[p:], d[q:])
+            want[left, c[p - left : p + right]] = {m for m, (e, r) in enumerate(contexts) if r >= left and e[r - left :].startswith(c[p - left : p + right])}
+    got = {}
+    for left, depth, members in substrings.repeat_groups(contexts, 1, 1):
+        c, p = contexts[members[0]]
+        assert (left, c[p - left : p + depth]) not in got
+        got[left, c[p - left : p + depth]] = set(members)
+    assert got == want
 
 
 def test_anchors_do_not_depend_on_chunks(monkeypatch):
