@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -117,31 +118,38 @@ def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, first))
 
 
-def repeat_groups(contexts: list[tuple[bytes, int]], gram: int = GRAM, length: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
-    """The maximal repeats of at least ``length`` bytes through the anchor of ``contexts`` (different bytes,
-    place of the anchor in them): the bytes before the anchor and from it on, and all members that have them.
-
-    Members of an interval share all that follows down to its depth. Sorted by what precedes, they have an
-    interval tree of their own, whose depths are left extensions at which members differ. Where these
-    come from one child of the interval, the child gives the same with more bytes to the right: only
-    left intervals that hold members of two children are maximal on both sides.
-    """
+def _right_intervals(contexts: list[tuple[bytes, int]], before: list[bytes], gram: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """Depth, members in the order of what precedes them, and the child of each context of the intervals of
+    ``contexts`` (different bytes, place of the anchor in them), sorted by what follows the anchor."""
     right = [c[left:] for c, left in contexts]
-    before = [c[:left][::-1] for c, left in contexts]
     order = sorted(range(len(contexts)), key=right.__getitem__)
     prefixes = [common_prefix(right[a], right[b]) for a, b in zip(order, order[1:], strict=False)]
+    children = [0] * len(contexts)
     for depth, first, last in intervals(prefixes):
         if depth < gram:
             continue
-        child, children = 0, {order[first]: 0}
+        child = children[order[first]] = 0
         for i in range(first, last):
             child += prefixes[i] == depth
             children[order[i + 1]] = child
-        members = sorted(order[first : last + 1], key=before.__getitem__)
-        shared = [common_prefix(before[a], before[b]) for a, b in zip(members, members[1:], strict=False)]
+        yield depth, sorted(order[first : last + 1], key=before.__getitem__), children
+
+
+def repeat_groups(contexts: list[tuple[bytes, int]], gram: int = GRAM, length: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
+    """The maximal repeats of at least ``length`` bytes through the anchor of ``contexts``: the bytes before
+    the anchor and from it on, and all members that have them.
+
+    Members of an interval share all that follows down to its depth. Sorted by what precedes, they have an
+    interval tree of their own, whose depths are left extensions at which members differ. Where these
+    come from one child of the interval, the child gives the same with more bytes to the right: only
+    left intervals that hold members of two children are maximal on both sides.
+    """
+    before = [c[:left][::-1] for c, left in contexts]
+    for depth, members, children in _right_intervals(contexts, before, gram):
+        pairs = list(zip(members, members[1:], strict=False))
         # How many neighbours up to each member come from different children.
-        changes = np.cumsum([0, *(children[a] != children[b] for a, b in zip(members, members[1:], strict=False))])
-        for left, low, high in intervals(shared):
+        changes = list(accumulate((children[a] != children[b] for a, b in pairs), initial=0))
+        for left, low, high in intervals([common_prefix(before[a], before[b]) for a, b in pairs]):
             if left + depth >= length and changes[low] != changes[high]:
                 yield left, depth, members[low : high + 1]
 
@@ -150,17 +158,25 @@ def reaches(contexts: list[tuple[bytes, int]], repeated: list[bool], length: int
     """How far repeated strings of ``length`` bytes through each context's anchor reach, before and after
     its start. ``repeated`` marks contexts that themselves occur twice.
 
-    All of these strings hold the anchor's gram, so what they cover is one run of bytes.
+    All of these strings hold the anchor's gram, so what they cover is one run of bytes. It takes no groups
+    for that, only neighbours: a context reaches farthest left with a neighbour, and where that is of the
+    same child, the child has told as much with a longer reach to the right.
     """
-    low, high = np.full(len(contexts), -1), np.zeros(len(contexts), np.int64)
+    low, high = [-1] * len(contexts), [0] * len(contexts)
     for m, ((c, left), twice) in enumerate(zip(contexts, repeated, strict=True)):
         if twice and len(c) >= length:
             low[m], high[m] = left, len(c) - left
-    if len(contexts) > 1:
-        for left, depth, members in repeat_groups(contexts, gram, length):
-            low[members] = np.maximum(low[members], left)
-            high[members] = np.maximum(high[members], depth)
-    return [(a, b) if a >= 0 else None for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+    before = [c[:left][::-1] for c, left in contexts]
+    for depth, members, children in _right_intervals(contexts, before, gram) if len(contexts) > 1 else ():
+        a = members[0]
+        for b in members[1:]:
+            if children[a] != children[b]:
+                left = common_prefix(before[a], before[b])
+                if left + depth >= length:
+                    for m in (a, b):
+                        low[m], high[m] = max(low[m], left), max(high[m], depth)
+            a = b
+    return [(a, b) if a >= 0 else None for a, b in zip(low, high, strict=True)]
 
 
 def named_repeats(
