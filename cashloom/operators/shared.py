@@ -18,6 +18,7 @@ TASK_ROWS = 20_000
 #: Rows of an index that are summed in one task.
 SUM_BLOCK = 1 << 16
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_MERGING = "spark.sql.adaptive.coalescePartitions.enabled"
 #: Names this process's folder of saved tables.
 RUN = uuid.uuid4().hex
 
@@ -40,11 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def saved(df: DataFrame, name: str, rows: int | None = None, grows: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: this cuts the lineage.
 
     ``rows`` tells about how many there are, where that is known: a table of few rows then has few files,
-    their number growing with it. It limits nothing.
+    their number growing with it. It limits nothing. A join that ``grows``, to many more rows than it reads,
+    keeps all of its tasks: merging them by the size of what they read would leave a few with all the work.
     The shuffle files of the write go as soon as it has ended, since nothing reads them again.
     """
     spark = df.sparkSession
@@ -52,15 +54,18 @@ def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         # Never fewer tasks than the cluster has cores, unless there is next to nothing for each.
         df = df.coalesce(1 + max(rows // FILE_ROWS, min(spark.sparkContext.defaultParallelism, rows // TASK_ROWS)))
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true"} | ({_MERGING: "false"} if grows else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

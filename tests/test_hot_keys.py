@@ -125,3 +125,41 @@ def test_best_candidates_are_the_first_of_all(spark):
         for r in best_candidates(ledger, payments, cfg, k).collect():
             got.setdefault(r.ledger_id, []).append((-r.confidence, r.p_ord))
         assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x)[:k] for i, x in want.items()}
+
+
+def test_string_bounds_hold(spark):
+    from cashloom.operators.candidates import band_join, bound_features, score_strings, string_bounds
+
+    rng = random.Random(5)
+    names = ["ACME CORP", "Acme Corp", "NIMBUS LTD", "Customer#000000123", "Customer#000000132", "", None, "Ж" * 40, "x" * 300, "ab ba", "\U0001f600\U0001f600 shop"]
+    memos = ["PAYMENT INV-{}", "NEFT INV{} N000000000{} x", "INV-{} INV-{}", "late fee {}", "", None, "word " * 80, "é{} ü ß", "N00000000000{}"]
+
+    def side(name: str, n: int):
+        def memo():
+            m = rng.choice(memos)
+            return m and m.format(rng.randrange(2000, 2100), rng.randrange(100, 110))
+
+        rows = [(i, f"{name}{i}", dt.date(2026, 3, 2), 100_000, rng.choice(names), memo()) for i in range(n)]
+        return canonical(spark.createDataFrame(rows, "ord int, id string, date date, amount bigint, counterparty string, memo string").withColumn("currency", F.lit("INR")))
+
+    cfg = MatchConfig()
+    pairs = band_join(bound_features(side("l", 150)), bound_features(side("p", 150)), 0.5)
+    for weights in (cfg.strings, type(cfg.strings)(0.0, 1.0, 0.0), type(cfg.strings)(1.0, 0.0, 0.0), type(cfg.strings)(0.0, 0.0, 1.0)):
+        rows = score_strings(string_bounds(pairs, weights).withColumnsRenamed({"string_low": "low", "string_high": "high"}), weights)
+        n, wrong, near = rows.agg(F.count("*"), F.count_if((F.col("low") > F.col("string_score") + 1e-12) | (F.col("high") < F.col("string_score") - 1e-12)), F.count_if(F.col("high") < 1)).first()
+        assert (n, wrong) == (150 * 150, 0) and near > 1000
+
+
+def test_candidates_are_counted_by_bounds(spark):
+    from cashloom.operators.candidates import candidates, count_candidates
+
+    rng = random.Random(17)
+    people = ["ACME CORP", "NIMBUS LTD", "ORION", "", "Q"]
+
+    def side(name: str, n: int, memo: str):
+        rows = [(i, f"{name}{i}", dt.date(2026, 3, 2) + dt.timedelta(rng.randrange(0, 60)), 100_000 + rng.randrange(-900, 900), rng.choice(people), rng.choice([memo, "{}"]).format(rng.randrange(2000, 9000))) for i in range(n)]
+        return canonical(spark.createDataFrame(rows, "ord int, id string, date date, amount bigint, counterparty string, memo string").withColumn("currency", F.lit("INR")))
+
+    ledger, payments, cfg = side("l", 80, "PAYMENT INV-{}"), side("p", 120, "NEFT INV{} x"), MatchConfig()
+    want = {r.ledger_id: r["count"] for r in candidates(ledger, payments, cfg).groupBy("ledger_id").count().collect()}
+    assert {r.ledger_id: r.n for r in count_candidates(ledger, payments, cfg).collect()} == want
