@@ -10,6 +10,7 @@ from test_dedup import brute_near
 
 import corpus_pipeline
 from cashloom.llm import bpe, mixing, quality
+from cashloom.operators.shared import saved
 
 
 def test_stages_against_brute_force(spark, data, tmp_path):
@@ -136,3 +137,22 @@ def test_run_rereads_each_stage(spark, data, monkeypatch):
     out = corpus_pipeline.run(spark, data)
     assert out.count() == spark.read.parquet(f"{data}/documents.parquet").count()
     assert not set(seen[0]) & set(seen[1]) and not set(seen[1]) & set(out.inputFiles())
+
+
+def test_saved_collects_the_drivers_garbage_once_an_eighth_of_the_heap_has_filled(spark):
+    jvm = spark.sparkContext._jvm
+    memory = jvm.java.lang.Runtime.getRuntime()
+
+    def collections() -> int:
+        return sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName())
+
+    memory.gc()
+    saved(spark.range(1), "garbage")
+    before = collections()
+    saved(spark.range(1), "garbage")
+    assert collections() == before
+    filled = [jvm.java.nio.ByteBuffer.allocate(memory.maxMemory() // 40) for _ in range(8)]
+    saved(spark.range(1), "garbage")
+    assert collections() > before
+    for buffer in filled:
+        spark.sparkContext._gateway.detach(buffer)
