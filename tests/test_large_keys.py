@@ -29,3 +29,8 @@ def shifted(data, tmp_path_factory) -> str:
 @pytest.mark.parametrize("name", ["set3_shared_ids", "str1_utrs", "str1_residual"])
 def test_identifiers_of_long_numbers(spark, shifted, name):
     compare(spark, shifted, registry.QUERIES[name], registry.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["mat5_exact", "mat8_splits"])
+def test_matches_by_references_of_long_numbers(spark, shifted, name):
+    compare(spark, shifted, registry.QUERIES[name], registry.ORACLES[name])
