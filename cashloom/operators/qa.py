@@ -34,18 +34,20 @@ def find_record_ids(questions: DataFrame, ids: DataFrame) -> DataFrame:
 
     Ids are indexed by their rarest piece of GRAM letters, shorter ones by all they are. A question that
     holds an id holds its piece, so pieces are joined and what they bring is held against the question.
-    Null and empty ids are held by none; a null question holds none.
+    Null and empty ids are held by none; a null question holds none. The joins shuffle: a table's size is
+    guessed before its rows are cut into pieces, so a table taken for small may be far too large to broadcast.
     """
     own = ids.where("id <> ''").select("id", F.lower("id").alias("_low")).distinct()
     own = own.withColumn("_n", F.least(F.char_length("_low"), F.lit(GRAM)))
     pieces = own.select("id", "_low", "_n", F.explode(_grams(F.col("_low"), F.col("_n"))).alias("_gram"))
     common = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses"))
-    rarest = pieces.join(common, "_gram").groupBy("id", "_low").agg(F.min(F.struct("_uses", "_gram")).alias("_g")).select("id", "_low", F.col("_g._gram").alias("_gram"))
+    rarest = pieces.join(common.hint("merge"), "_gram").groupBy("id", "_low").agg(F.min(F.struct("_uses", "_gram")).alias("_g")).select("id", "_low", F.col("_g._gram").alias("_gram"))
     asked = questions.select("q_id", F.lower("question").alias("_q")).where("_q IS NOT NULL")
-    every = F.flatten(F.array(*[F.coalesce(_grams(F.col("_q"), n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)]))
-    held = asked.select("q_id", "_q", F.explode(every).alias("_gram")).join(rarest, "_gram").where(F.col("_q").contains(F.col("_low")))
+    lengths = sorted(r["_n"] for r in own.select("_n").distinct().collect())
+    every = F.flatten(F.array(F.array().cast("array<string>"), *[F.coalesce(_grams(F.col("_q"), n), F.array().cast("array<string>")) for n in lengths]))
+    held = asked.select("q_id", "_q", F.explode(every).alias("_gram")).join(rarest.hint("merge"), "_gram").where(F.col("_q").contains(F.col("_low")))
     best = held.groupBy("q_id").agg(F.min(F.struct((-F.length("id")).alias("n"), "id")).alias("_b"))
-    return questions.join(best, "q_id", "left").select(*questions.columns, F.col("_b.id").alias("id"))
+    return questions.join(best.hint("merge"), "q_id", "left").select(*questions.columns, F.col("_b.id").alias("id"))
 
 
 def find_record_id(questions: Sequence[str], ids: DataFrame) -> DataFrame:

@@ -34,3 +34,12 @@ def test_identifiers_of_long_numbers(spark, shifted, name):
 @pytest.mark.parametrize("name", ["mat5_exact", "mat8_splits"])
 def test_matches_by_references_of_long_numbers(spark, shifted, name):
     compare(spark, shifted, registry.QUERIES[name], registry.ORACLES[name])
+
+
+def test_pieces_of_questions_are_not_broadcast(spark, data):
+    """A table's size is guessed before its rows are cut into pieces, which may be hundreds of times as many."""
+    found = registry.QUERIES["str12_find_id"](spark, data)
+    found.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    pieces = [x for x in plan.splitlines() if "Join" in x and "_gram" in x]
+    assert len(pieces) == 2 and all("strategy=merge" in x for x in pieces), plan
